@@ -49,4 +49,4 @@ def load_all() -> dict[str, Query]:
     return REGISTRY
 
 
-QUERY_MODULES = ("q_profile", "q_features")
+QUERY_MODULES = ("q_profile", "q_features", "q_metrics")
