@@ -80,3 +80,9 @@ def is_numeric_type(dtype: str) -> bool:
 
 def is_integer_type(dtype: str) -> bool:
     return dtype in ("tinyint", "smallint", "int", "bigint")
+
+
+def np_round(c: str | Column, digits: int) -> Column:
+    """Round half-to-even on the binary value scaled by 10^d, as NumPy's round does."""
+    scale = float(10 ** digits)
+    return F.rint(col(c) * F.lit(scale)) / F.lit(scale)

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from classcraft.functions.expr import np_round
 from classcraft.operators.score import Scorer
 
 CURVE_POINTS = 25
@@ -60,7 +61,7 @@ def attribute(df: DataFrame, key: str, scorer: Scorer, fields: list[dict], top_n
         key, "_actual", F.col("_f.i").alias("_fi"), *[F.col(f"`{n}`") for n in names])
     cf = exploded.select(key, "_actual", "_fi", *_swap(types, fields, "_fi"))
     scored = _scored(scorer, cf)
-    delta = F.bround(F.col("_actual") - F.col("_score"), 4)
+    delta = np_round(F.col("_actual") - F.col("_score"), 4)
     name_arr = F.array(*[F.lit(n) for n in names])
     w = Window.partitionBy(key).orderBy(F.abs(F.col("delta")).desc(), F.col("_fi"))
     out = scored.select(key, "_fi", F.element_at(name_arr, F.col("_fi") + 1).alias("column"), delta.alias("delta")) \
@@ -97,11 +98,11 @@ def what_if(df: DataFrame, key: str, scorer: Scorer, fields: list[dict], column:
         if float(spec.get("max", 1.0)) <= float(spec.get("min", 0.0)):
             return empty
         g = _grid(spec)
-        values = F.array_distinct(F.transform(g, lambda v: F.bround(v, 0) if spec.get("integer") else F.bround(v, 4)))
+        values = F.array_distinct(F.transform(g, lambda v: F.rint(v) if spec.get("integer") else np_round(v, 4)))
     ex = df.select(key, *names).select("*", F.posexplode(values).alias("point", "_v"))
     cols = [F.col("_v").cast(types[n]).alias(n) if n == column else F.col(f"`{n}`") for n in names]
     scored = _scored(scorer, ex.select(key, "point", "_v", *cols))
-    return scored.select(key, "point", F.col("_v").cast("string").alias("value"), F.col("_score").alias("probability"))
+    return scored.select(key, "point", F.col("_v").alias("value"), F.col("_score").alias("probability"))
 
 
 def levers(df: DataFrame, key: str, scorer: Scorer, fields: list[dict], max_levers: int = MAX_LEVERS) -> DataFrame:
@@ -109,7 +110,7 @@ def levers(df: DataFrame, key: str, scorer: Scorer, fields: list[dict], max_leve
     reaches it. Numeric: first of 24 steps from the current value up to the
     training max; categorical: the best-scoring other level, if it reaches
     the threshold. Ranked by |to − from| (categorical last), keep 4.
-    Columns: key, rank, column, from_value, to_value, gain.
+    Columns: key, rank, column, from_value, to_value (text), to_number (numeric levers), gain.
     """
     types = dict(df.dtypes)
     fields = [f for f in fields if f["name"] in df.columns]
@@ -133,7 +134,8 @@ def levers(df: DataFrame, key: str, scorer: Scorer, fields: list[dict], max_leve
             best = best.where((F.col("b._score") > F.col("b._current")) & (F.col("b._score") >= t))
             parts.append(best.select(key, F.lit(i).alias("_fi"), F.lit(n).alias("column"),
                                      F.col("b._from").alias("from_value"), F.col("b._to").alias("to_value"),
-                                     F.bround(F.col("b._score") - F.col("b._current"), 4).alias("gain"),
+                                     F.lit(None).cast("double").alias("to_number"),
+                                     np_round(F.col("b._score") - F.col("b._current"), 4).alias("gain"),
                                      F.lit(NON_NUMERIC_DISTANCE).alias("_dist")))
         else:
             hi = float(f.get("max", 1.0))
@@ -141,20 +143,21 @@ def levers(df: DataFrame, key: str, scorer: Scorer, fields: list[dict], max_leve
             cand = base.where(now < F.lit(hi)).withColumn("_now", now)
             grid = F.slice(_grid(f, start=F.col("_now")), 2, CURVE_POINTS - 1)
             if f.get("integer"):
-                grid = F.transform(grid, lambda v: F.bround(v, 0))
+                grid = F.transform(grid, lambda v: F.rint(v))
             ex = cand.select("*", F.posexplode(grid).alias("_step", "_to"))
             cols = [F.col("_to").cast(types[m]).alias(m) if m == n else F.col(f"`{m}`") for m in names]
             sc = _scored(scorer, ex.select(key, "_current", "_now", "_step", "_to", *cols)).where(F.col("_score") >= t)
             first = sc.groupBy(key).agg(F.min_by(F.struct("_to", "_score", "_now", "_current"), F.col("_step")).alias("b"))
             parts.append(first.select(key, F.lit(i).alias("_fi"), F.lit(n).alias("column"),
                                       F.col("b._now").cast("string").alias("from_value"), F.col("b._to").cast("string").alias("to_value"),
-                                      F.bround(F.col("b._score") - F.col("b._current"), 4).alias("gain"),
+                                      F.col("b._to").alias("to_number"),
+                                      np_round(F.col("b._score") - F.col("b._current"), 4).alias("gain"),
                                       F.abs(F.col("b._to") - F.col("b._now")).alias("_dist")))
     if not parts:
-        return df.sparkSession.createDataFrame([], f"{key} {types[key]}, rank int, column string, from_value string, to_value string, gain double")
+        return df.sparkSession.createDataFrame([], f"{key} {types[key]}, rank int, column string, from_value string, to_value string, to_number double, gain double")
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
     w = Window.partitionBy(key).orderBy(F.col("_dist"), F.col("_fi"))
     return allp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_levers) \
-        .select(key, "rank", "column", "from_value", "to_value", "gain")
+        .select(key, "rank", "column", "from_value", "to_value", "to_number", "gain")

@@ -157,6 +157,11 @@ def best_youden_threshold(curve: DataFrame) -> DataFrame:
     return best.select(F.when(ok, F.col("b.t")).otherwise(F.lit(0.5)).alias("threshold"))
 
 
+def _np5(x: Column) -> Column:
+    """NumPy-style 5 dp rounding (half-even on the scaled binary value)."""
+    return F.rint(x * F.lit(1e5)) / F.lit(1e5)
+
+
 def _thin_index(n: Column, limit: int = CURVE_POINTS) -> Column:
     """Indices kept by linspace(0, n-1, limit).astype(int), as a column of arrays."""
     step = (n - 1).cast("double") / F.lit(float(limit - 1))
@@ -196,8 +201,8 @@ def roc_points(curve: DataFrame) -> DataFrame:
     pos = F.array_position(_thin_index(F.col("m")), F.col("idx")) - 1
     return chosen.select(
         pos.cast("int").alias("point"),
-        F.bround(F.col("cfp") / F.col("n_neg"), 5).alias("fpr"),
-        F.bround(F.col("ctp") / F.col("n_pos"), 5).alias("tpr"),
+        _np5(F.col("cfp") / F.col("n_neg")).alias("fpr"),
+        _np5(F.col("ctp") / F.col("n_pos")).alias("tpr"),
     )
 
 
@@ -212,7 +217,7 @@ def pr_points(curve: DataFrame) -> DataFrame:
     allp = pts.unionByName(last)
     chosen = allp.where(F.array_contains(_thin_index(F.col("m")), F.col("idx")))
     pos = F.array_position(_thin_index(F.col("m")), F.col("idx")) - 1
-    return chosen.select(pos.cast("int").alias("point"), F.bround("precision", 5).alias("precision"), F.bround("recall", 5).alias("recall"))
+    return chosen.select(pos.cast("int").alias("point"), _np5(F.col("precision")).alias("precision"), _np5(F.col("recall")).alias("recall"))
 
 
 # ── multiclass (M2, M3, M4, M7) ────────────────────────────────────────────

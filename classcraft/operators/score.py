@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from classcraft.functions.expr import np_round
 from classcraft.operators.metrics import argmax_label, renormalize
 
 BORDERLINE_MARGIN = 0.10
@@ -77,13 +78,13 @@ def band_expr(score: Column, threshold: float) -> Column:
 def score_frame(df: DataFrame, scorer: Scorer) -> DataFrame:
     """SC1–SC5: input columns + prediction, p_<label> (4 dp), probability (4 dp), confidence."""
     scored = scorer.probs(df)
-    per_label = [F.bround(F.element_at(F.col("probs"), i + 1), 4).alias(f"p_{label}") for i, label in enumerate(scorer.labels)]
+    per_label = [np_round(F.element_at(F.col("probs"), i + 1), 4).alias(f"p_{label}") for i, label in enumerate(scorer.labels)]
     s = scorer.score_col()
     return scored.select(
         *[F.col(f"`{c}`") for c in df.columns],
         label_expr(scorer).alias("prediction"),
         *per_label,
-        F.bround(s, 4).alias("probability"),
+        np_round(s, 4).alias("probability"),
         band_expr(s, scorer.threshold).alias("confidence"),
     )
 
@@ -93,8 +94,8 @@ def cohort_summary(scored: DataFrame, positive: str | None) -> DataFrame:
     borderline count — plus ``by_label`` as a map (one groupBy, tiny)."""
     head = scored.agg(
         F.count(F.lit(1)).alias("total"),
-        (F.bround(F.avg((F.col("prediction") == F.lit(positive)).cast("double")), 4) if positive else F.lit(None).cast("double")).alias("positive_rate"),
-        F.bround(F.avg("probability"), 4).alias("mean_probability"),
+        (np_round(F.avg((F.col("prediction") == F.lit(positive)).cast("double")), 4) if positive else F.lit(None).cast("double")).alias("positive_rate"),
+        np_round(F.avg("probability"), 4).alias("mean_probability"),
         F.count_if(F.col("confidence") == BANDS[0]).alias("borderline"),
     )
     return head

@@ -167,7 +167,7 @@ POINT = ("CASE WHEN m <= 200 THEN idx ELSE list_position(list_transform(range(0,
     "kept AS (SELECT p, ctp, cfp, n_pos, n_neg FROM r WHERE idx = 0 OR idx = n_pts - 1 OR fp_next <> fp OR tp_next <> tp "
     "UNION ALL SELECT 2.0, 0, 0, (SELECT max(n_pos) FROM cur), (SELECT max(n_neg) FROM cur)), "
     "k2 AS (SELECT *, row_number() OVER (ORDER BY p DESC) - 1 AS idx, count(*) OVER () AS m FROM kept) "
-    f"SELECT CAST({POINT} AS INTEGER) AS point, round_even(cfp / n_neg, 5) AS fpr, round_even(ctp / n_pos, 5) AS tpr FROM k2 WHERE {THIN}"))
+    f"SELECT CAST({POINT} AS INTEGER) AS point, round_even(cfp / n_neg * 100000, 0) / 100000 AS fpr, round_even(ctp / n_pos * 100000, 0) / 100000 AS tpr FROM k2 WHERE {THIN}"))
 def m11_roc_points(spark, sf):
     return M.roc_points(curve(spark, sf))
 
@@ -175,7 +175,7 @@ def m11_roc_points(spark, sf):
 @register("m12_pr_points", CURVE_SQL + (
     ", r AS (SELECT row_number() OVER (ORDER BY p) - 1 AS idx, ctp / (ctp + cfp) AS precision, ctp / n_pos AS recall, count(*) OVER () + 1 AS m FROM cur), "
     "allp AS (SELECT * FROM r UNION ALL SELECT max(m) - 1, 1.0, 0.0, max(m) FROM r) "
-    f"SELECT CAST({POINT} AS INTEGER) AS point, round_even(precision, 5) AS precision, round_even(recall, 5) AS recall FROM allp WHERE {THIN}"))
+    f"SELECT CAST({POINT} AS INTEGER) AS point, round_even(precision * 100000, 0) / 100000 AS precision, round_even(recall * 100000, 0) / 100000 AS recall FROM allp WHERE {THIN}"))
 def m12_pr_points(spark, sf):
     return M.pr_points(curve(spark, sf))
 
