@@ -49,4 +49,4 @@ def load_all() -> dict[str, Query]:
     return REGISTRY
 
 
-QUERY_MODULES = ("q_profile", "q_features", "q_metrics", "q_scoring", "q_log")
+QUERY_MODULES = ("q_profile", "q_features", "q_metrics", "q_scoring", "q_log", "q_train")
