@@ -104,11 +104,20 @@ def _prepared(df_types: dict[str, str], rule: CleanRule | None, column: str) ->
 
 
 def fit_cleaning(train: DataFrame, rules: list[CleanRule], columns: list[str] | None = None,
-                 approx_median: set[str] | frozenset[str] = frozenset()) -> CleaningState:
-    """Learn fill values (C5–C9) and kept levels (C11) from the training rows."""
+                 approx_median: set[str] | frozenset[str] | None = None) -> CleaningState:
+    """Learn fill values (C5–C9) and kept levels (C11) from the training rows.
+
+    ``approx_median`` names the columns whose median uses the sketch; by
+    default those with more than ``EXACT_MEDIAN_LIMIT`` distinct values.
+    """
     types = dict(train.dtypes)
     by_col = {r.column: r for r in rules}
     columns = [c for c in (columns or [r.column for r in rules]) if c in types]
+    if approx_median is None:
+        from classcraft.operators.drift import wide_columns
+
+        medians = [c for c in columns if (by_col[c].impute if c in by_col else "median") == "median"]
+        approx_median = wide_columns(train, medians, EXACT_MEDIAN_LIMIT)
     numeric_cols: list[str] = []
     aggs: list[Column] = []
     for i, c in enumerate(columns):

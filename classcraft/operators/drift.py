@@ -32,8 +32,23 @@ def _long_text(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(cells).alias("x")).select("x.*").where(F.col("level").isNotNull())
 
 
-def quantile_edges(df: DataFrame, columns: list[str], approx: set[str] | frozenset = frozenset()) -> DataFrame:
-    """Distinct decile edges per numeric column (linear interpolation). (column, edges)."""
+def wide_columns(df: DataFrame, columns: list[str], limit: int = EXACT_QUANTILE_LIMIT) -> set[str]:
+    """Columns with more distinct values than an exact quantile should buffer
+    (one HyperLogLog pass over all of them)."""
+    if not columns:
+        return set()
+    row = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    return {c for i, c in enumerate(columns) if row[f"d{i}"] > limit}
+
+
+def quantile_edges(df: DataFrame, columns: list[str], approx: set[str] | frozenset | None = None) -> DataFrame:
+    """Distinct decile edges per numeric column (linear interpolation). (column, edges).
+
+    ``approx`` names the columns cut with ``percentile_approx``; by default the
+    columns whose distinct count exceeds ``EXACT_QUANTILE_LIMIT``.
+    """
+    if approx is None:
+        approx = wide_columns(df, columns)
     qs = F.array(*[F.lit(q) for q in QUANTILES])
     aggs = []
     for c in columns:
@@ -60,7 +75,7 @@ def _bin_shares(long: DataFrame, edges: DataFrame) -> DataFrame:
             .select("column", "bin", (F.coalesce(F.col("n"), F.lit(0)) / F.col("total")).alias("share")))
 
 
-def numeric_baseline(train: DataFrame, columns: list[str], approx: set[str] | frozenset = frozenset()) -> DataFrame:
+def numeric_baseline(train: DataFrame, columns: list[str], approx: set[str] | frozenset | None = None) -> DataFrame:
     """Per numeric column, stored edges (6 dp) and true bin shares (6 dp),
     counted on the unrounded edges. Columns: column, edges, shares."""
     edges = quantile_edges(train, columns, approx).persist()
