@@ -73,7 +73,8 @@ def score_curve(df: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
 def _attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate (collected: it is a scalar row)."""
     row = one_row.first()
-    return df.select("*", *[F.lit(row[c]).alias(c) for c in one_row.columns])
+    types = {f.name: f.dataType for f in one_row.schema.fields}
+    return df.select("*", *[F.lit(row[c]).cast(types[c]).alias(c) for c in one_row.columns])
 
 
 # ── threshold metrics (M3–M5) ──────────────────────────────────────────────
@@ -130,7 +131,7 @@ def auc_from_curve(curve: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
     by = list(by)
     term = F.col("fp") * ((F.col("ctp") - F.col("tp")) + F.col("tp") / 2.0)
     return curve.groupBy(*by).agg(
-        F.when((F.first("n_pos") > 0) & (F.first("n_neg") > 0), F.sum(term) / (F.first("n_pos") * F.first("n_neg"))).alias("roc_auc"))
+        F.when((F.first("n_pos") > 0) & (F.first("n_neg") > 0), F.sum(term) / (F.first("n_pos").cast("double") * F.first("n_neg"))).alias("roc_auc"))
 
 
 def average_precision_from_curve(curve: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
