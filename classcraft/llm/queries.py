@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classcraft.llm import bpe, mixing, simhash
+from classcraft.llm import bpe, mixing, simhash, suffix_dedup
 from classcraft.llm.common import table
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -29,6 +34,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe,
+    "op5_suffix": op5_suffix, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {"op8_mixing": mixing.ORACLE_SQL}
