@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classcraft.llm import bpe, mixing, simhash, suffix_dedup
-from classcraft.llm.common import table
+from classcraft.llm import bpe, langid, mixing, simhash, suffix_dedup
+from classcraft.llm.common import crc_slice, table
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_slice("doc_id", 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    out = langid.identify(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +42,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_suffix": op5_suffix, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe,
+    "op2_langid": op2_langid, "op5_suffix": op5_suffix, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {"op8_mixing": mixing.ORACLE_SQL}

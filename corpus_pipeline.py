@@ -8,8 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from classcraft.llm import bpe, mixing, simhash
-from classcraft.llm.common import table, written
+from classcraft.llm import bpe, langid, mixing, simhash, suffix_dedup
+from classcraft.llm.common import crc_slice, table, written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a recognisable language, learned from the documents' own labels, stay."""
+    model = langid.fit(docs.where(crc_slice("doc_id", 4) != 2))
+    return langid.recognised(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +23,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.deduplicated(docs, distance=2, shingle=3)
 
 
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 100 bytes that start earlier in the documents."""
+    return suffix_dedup.without_repeats(docs, length=100)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
@@ -31,7 +42,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", identify_language),
     ("simhash_near_dedup", near_duplicates),
+    ("suffix_dedup", remove_repeats),
     ("mixing", mix_sources),
     ("byte_bpe", encode),
 ]
