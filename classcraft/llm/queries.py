@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classcraft.llm import bpe, langid, mixing, quality, simhash, suffix_dedup
+from classcraft.llm import bpe, langid, lm_score, mixing, quality, simhash, suffix_dedup
 from classcraft.llm.common import crc_slice, table
 
 
@@ -19,6 +19,12 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_slice("doc_id", 7) == 2
+    out = lm_score.score(table(spark, sf_dir, "documents"), held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
