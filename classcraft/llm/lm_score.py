@@ -177,7 +177,7 @@ class Filter:
 
 # ---------------------------------------------------------------- counting
 
-def _count(shards: int):
+def _count(shards: int, task_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -194,7 +194,7 @@ def _count(shards: int):
             for text in batch.column(0):
                 held.append(tokens(text.as_py()))
                 size += len(held[-1])
-                if size >= TASK_TOKENS:
+                if size >= task_tokens:
                     yield from send()
                     held, size = [], 0
         if held:
@@ -221,7 +221,7 @@ def _gather(table: pa.Table) -> pa.Table:
 
 def count_grams(training: DataFrame, shards: int) -> DataFrame:
     """One row per shard: words (hashes), counts, segment, n_tokens, n_words."""
-    blocks = training.select("text").mapInArrow(_count(shards), "shard int, order int, grams binary, counts binary")
+    blocks = training.select("text").mapInArrow(_count(shards, TASK_TOKENS), "shard int, order int, grams binary, counts binary")
     return written(blocks.groupBy("shard").applyInArrow(
         _gather, "shard int, words binary, counts binary, segment binary, n_tokens long, n_words long"), "lm-counts")
 
@@ -261,13 +261,13 @@ def _batch(ids: pa.Array, found) -> pa.RecordBatch:
                                       names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
-def _blocks(batch: pa.RecordBatch):
-    """(first row, tokens of the rows) of at most about BLOCK_TOKENS."""
+def _blocks(batch: pa.RecordBatch, block_tokens: int):
+    """(first row, tokens of the rows) of at most about ``block_tokens``."""
     held, size, first = [], 0, 0
     for row, text in enumerate(batch.column(1)):
         held.append(tokens(text.as_py()))
         size += len(held[-1])
-        if size >= BLOCK_TOKENS:
+        if size >= block_tokens:
             yield first, held
             held, size, first = [], 0, row + 1
     if held:
@@ -287,12 +287,13 @@ def _score_by_broadcast(docs: DataFrame, model: DataFrame, shards: int, total: i
     shared = docs.sparkSession.sparkContext.broadcast((
         b"".join(r.words for r in rows), b"".join(r.counts for r in rows), {r.shard: bytes(r.segment) for r in rows}))
     del rows
+    block_tokens = BLOCK_TOKENS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, segments = shared.value
         words, counts, bloom = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64), Filter(segments, shards)
         for batch in batches:
-            for first, held in _blocks(batch):
+            for first, held in _blocks(batch, block_tokens):
                 found = scored(held, lambda w: lookup(words, counts, w), bloom.levels, total, types)
                 yield _batch(batch.column(0).slice(first, len(held)), found)
 
@@ -301,12 +302,12 @@ def _score_by_broadcast(docs: DataFrame, model: DataFrame, shards: int, total: i
 
 
 def _score_by_shards(docs: DataFrame, model: DataFrame, shards: int, total: int, types: int) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, block_tokens = docs.schema["doc_id"].dataType.simpleString(), BLOCK_TOKENS
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for first, held in _blocks(batch):
+            for first, held in _blocks(batch, block_tokens):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), pa.array([batch.column(0).slice(first, len(held)).to_pylist()], pa.list_(batch.schema.field(0).type)),
                      pa.array([[len(h) for h in held]], pa.list_(pa.int64())), pa.array([np.concatenate(held).tobytes()], pa.binary())],

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classcraft.llm import bpe, langid, lm_score, mixing, quality, simhash, suffix_dedup
+from classcraft.llm import bpe, langid, lm_score, mixing, quality, simhash, suffix_dedup, url_filter, warc
 from classcraft.llm.common import crc_slice, table
 
 
+# The rules of the contract: host, path prefix, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+             ("net", "/fr/", "block")]
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_slice("doc_id", 4) == 2
@@ -35,6 +40,15 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, path)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,4 +69,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid, "op5_suffix": op5_suffix, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op8_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op7_warc": warc.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}

@@ -126,13 +126,13 @@ def merge_in_task(rows: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
             yield _as_batch([spread, spread, doc, ver, lo, n], True)
 
 
-def _scan(length: int):
+def _scan(length: int, slice_bytes: int, rows_at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
             versions = batch.column(1).to_numpy(zero_copy_only=False)
-            for rows, base, parts in _slices(batch.column(2), length):
+            for rows, base, parts in _slices(batch.column(2), length, slice_bytes):
                 data = np.frombuffer(b"".join(parts), np.uint8)
                 sizes = np.array([len(p) for p in parts])
                 ends = np.cumsum(sizes)
@@ -143,7 +143,7 @@ def _scan(length: int):
                 row = np.array(rows)[piece]
                 held.append([key, seg, doc_ids[row], versions[row], np.array(base)[piece] + at - (ends - sizes)[piece], n])
                 count += len(key)
-                if count >= ROWS_AT_ONCE:
+                if count >= rows_at_once:
                     yield from merge_in_task(held)
                     held, count = [], 0
         if count:
@@ -151,18 +151,18 @@ def _scan(length: int):
     return run
 
 
-def _slices(texts: pa.Array, length: int):
-    """Pieces of the texts, about SLICE bytes at a time: (rows, first byte of each, bytes)."""
+def _slices(texts: pa.Array, length: int, slice_bytes: int):
+    """Pieces of the texts, about ``slice_bytes`` at a time: (rows, first byte of each, bytes)."""
     rows, bases, parts, size = [], [], [], 0
     for row, text in enumerate(texts):
         raw = (text.as_py() or "").encode()
-        for base in range(0, len(raw) - length + 1, SLICE):
-            part = raw[base:base + SLICE + length - 1]
+        for base in range(0, len(raw) - length + 1, slice_bytes):
+            part = raw[base:base + slice_bytes + length - 1]
             rows.append(row)
             bases.append(base)
             parts.append(part)
             size += len(part)
-            if size >= SLICE:
+            if size >= slice_bytes:
                 yield rows, bases, parts
                 rows, bases, parts, size = [], [], [], 0
     if parts:
@@ -407,7 +407,7 @@ def repeated(docs: DataFrame, length: int = 100) -> DataFrame:
         raise ValueError(f"strings must have {2 * GRAM} bytes at least")
     keyed = _keyed(docs)
     texts = keyed.select("doc", "ver", "text")
-    found = written(_merged(texts.mapInArrow(_scan(length), SEGMENT)), "suffix-segments")
+    found = written(_merged(texts.mapInArrow(_scan(length, SLICE, ROWS_AT_ONCE), SEGMENT)), "suffix-segments")
     cut = found.where("kind = 1")
     # Bounded by the number of cut segments / HOT_SEGMENTS: 8 bytes each.
     hot = np.array([r[0] for r in cut.groupBy("key").count().where(F.col("count") > HOT_SEGMENTS).select("key").collect()], np.int64)
