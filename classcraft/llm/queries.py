@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classcraft.llm import bpe, langid, lm_score, mixing, quality, simhash, suffix_dedup, url_filter, warc
+from classcraft.llm import ann_dedup, bpe, langid, lm_score, mixing, quality, simhash, suffix_dedup, url_filter, warc
 from classcraft.llm.common import crc_slice, table
 
 
@@ -16,6 +16,10 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
              ("net", "/fr/", "block")]
 
 
+def op1_ann_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_slice("doc_id", 4) == 2
@@ -67,6 +71,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_langid": op2_langid, "op5_suffix": op5_suffix, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_bpe": op10_bpe,
+    "op1_ann_dedup": op1_ann_dedup, "op2_langid": op2_langid, "op3_lm_score": op3_lm_score, "op4_quality": op4_quality,
+    "op5_suffix": op5_suffix, "op6_url_filter": op6_url_filter, "op7_warc": op7_warc, "op8_mixing": op8_mixing,
+    "op9_simhash": op9_simhash, "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {"op7_warc": warc.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
