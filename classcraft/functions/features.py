@@ -21,19 +21,46 @@ from classcraft.functions.expr import fin, num, row_product, row_sum, safe_div,
 
 MISSING_PREFIX = "__missing__"
 
-# Fixed vocabulary: operation name → (minimum inputs, maximum inputs or None).
-ARITY = {
-    "sum": (2, None), "mean": (2, None), "weighted_sum": (2, None), "product": (2, None),
-    "difference": (2, 2), "abs_difference": (2, 2), "ratio": (2, 2), "per_unit": (2, 2),
-    "spread": (2, None), "rowwise_max": (2, None), "rowwise_min": (2, None),
-    "count_above": (1, None),
-    "scale": (1, 1), "offset": (1, 1), "clip": (1, 1), "log1p": (1, 1), "sqrt": (1, 1),
-    "binarize_threshold": (1, 1), "binarize_equals": (1, 1), "category_map": (1, 1),
-    "is_missing": (1, 1), "normalize_max": (1, 1), "min_max_scale": (1, 1), "zscore": (1, 1),
+@dataclass(frozen=True)
+class Operation:
+    """What an operation takes: how many inputs, whether text will do, and which parameters.
+
+    ``required`` must all be given, of ``one_of`` at least one; ``shapes`` says what a given parameter must look like, as
+    (description, test of the value and the number of inputs).
+    """
+
+    least: int
+    most: int | None
+    text: bool = False
+    fitted: bool = False
+    required: tuple[str, ...] = ()
+    one_of: tuple[str, ...] = ()
+    shapes: dict[str, tuple[str, Any]] = field(default_factory=dict)
+
+
+def _is_number(x) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool)
+
+
+_WEIGHTS = ("a number for each input", lambda v, n: isinstance(v, list) and len(v) == n and all(map(_is_number, v)))
+_MAPPING = ("a level-to-number table", lambda v, n: isinstance(v, dict))
+
+# Fixed vocabulary: the operations, their input counts and their parameters.
+OPERATIONS = {
+    "sum": Operation(2, None), "mean": Operation(2, None), "product": Operation(2, None), "spread": Operation(2, None),
+    "rowwise_max": Operation(2, None), "rowwise_min": Operation(2, None),
+    "weighted_sum": Operation(2, None, required=("weights",), shapes={"weights": _WEIGHTS}),
+    "difference": Operation(2, 2), "abs_difference": Operation(2, 2), "ratio": Operation(2, 2), "per_unit": Operation(2, 2),
+    "count_above": Operation(1, None, required=("threshold",)),
+    "scale": Operation(1, 1, required=("factor",)), "offset": Operation(1, 1, required=("offset",)),
+    "clip": Operation(1, 1, one_of=("min", "max")), "log1p": Operation(1, 1), "sqrt": Operation(1, 1),
+    "binarize_threshold": Operation(1, 1, required=("threshold",)),
+    "binarize_equals": Operation(1, 1, text=True, required=("value",)),
+    "category_map": Operation(1, 1, text=True, required=("mapping",), shapes={"mapping": _MAPPING}),
+    "is_missing": Operation(1, 1, text=True),
+    "normalize_max": Operation(1, 1, fitted=True), "min_max_scale": Operation(1, 1, fitted=True), "zscore": Operation(1, 1, fitted=True),
 }
-# Operations that read text and may therefore take categorical inputs.
-CATEGORICAL_OPS = {"binarize_equals", "category_map", "is_missing"}
-STATEFUL_OPS = {"normalize_max", "min_max_scale", "zscore"}
+ARITY = {name: (op.least, op.most) for name, op in OPERATIONS.items()}
 MAX_FEATURES = 40
 
 
@@ -150,7 +177,7 @@ def _fit_aggs(spec: FeatureSpec, types: dict[str, str]) -> list[Column]:
 def fit_features(train: DataFrame, specs: list[FeatureSpec]) -> dict[str, dict[str, float]]:
     """Learn every stateful constant in ONE aggregate pass over the training rows."""
     types = dict(train.dtypes)
-    aggs = [a for s in specs if s.op in STATEFUL_OPS for a in _fit_aggs(s, types)]
+    aggs = [a for s in specs if OPERATIONS[s.op].fitted for a in _fit_aggs(s, types)]
     state: dict[str, dict[str, float]] = {s.name: {} for s in specs}
     if not aggs:
         return state

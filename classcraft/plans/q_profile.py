@@ -132,7 +132,7 @@ def s3_canonical_headers(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@register("s4_seeded_sample")
+@register("s4_seeded_sample", records_cte() + f"SELECT {RECORD_COLS_SQL} FROM records ORDER BY md5(CAST(record_id AS VARCHAR) || '|42'), record_id LIMIT 1000")
 def s4_seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Repeatable seeded sample of at most 1,000 rows (a sampling operator)."""
     return io.seeded_sample(records(spark, sf), "record_id", 1000)
