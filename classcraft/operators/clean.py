@@ -19,12 +19,11 @@ from pyspark.sql import functions as F
 
 from classcraft.functions.expr import OTHER, coerce_numeric, is_numeric_type, parse_number, strip_ws
 from classcraft.functions.features import missing_flag
+from classcraft.operators import ranks
 
 IMPUTE = ("median", "mean", "most_frequent", "constant", "none")
 DEFAULT_RARE_SHARE = 0.01
-# Exact percentile holds a column's distinct values in one buffer; columns
-# with more distinct values than this use percentile_approx for the median.
-EXACT_MEDIAN_LIMIT = 2_000_000
+LEAST_RARE_SHARE = 1e-4  # a smaller share is raised to it, so a column keeps at most 10,000 levels
 
 
 @dataclass
@@ -43,7 +42,8 @@ class CleanRule:
         if self.impute not in IMPUTE:
             self.impute = "median"
         if self.rare_min_frequency is not None:
-            self.rare_min_frequency = min(max(float(self.rare_min_frequency), 0.0), 0.2)
+            f = min(float(self.rare_min_frequency), 0.2)
+            self.rare_min_frequency = max(f, LEAST_RARE_SHARE) if f > 0 else 0.0
 
 
 @dataclass
@@ -103,48 +103,39 @@ def _prepared(df_types: dict[str, str], rule: CleanRule | None, column: str) ->
     return x, numeric
 
 
-def fit_cleaning(train: DataFrame, rules: list[CleanRule], columns: list[str] | None = None,
-                 approx_median: set[str] | frozenset[str] | None = None) -> CleaningState:
+def fit_cleaning(train: DataFrame, rules: list[CleanRule], columns: list[str] | None = None) -> CleaningState:
     """Learn fill values (C5–C9) and kept levels (C11) from the training rows.
 
-    ``approx_median`` names the columns whose median uses the sketch; by
-    default those with more than ``EXACT_MEDIAN_LIMIT`` distinct values.
+    Medians and modes are exact at every size (`ranks`); means are one aggregate.
     """
     types = dict(train.dtypes)
     by_col = {r.column: r for r in rules}
     columns = [c for c in (columns or [r.column for r in rules]) if c in types]
-    if approx_median is None:
-        from classcraft.operators.drift import wide_columns
-
-        medians = [c for c in columns if (by_col[c].impute if c in by_col else "median") == "median"]
-        approx_median = wide_columns(train, medians, EXACT_MEDIAN_LIMIT)
     numeric_cols: list[str] = []
-    aggs: list[Column] = []
-    for i, c in enumerate(columns):
+    means, medians, modes = {}, {}, {}
+    for c in columns:
         rule = by_col.get(c)
-        raw = F.col(f"`{c}`")
-        if rule is not None and rule.coerce_numeric and not (is_numeric_type(types[c]) or types[c] == "boolean"):
-            series, numeric = coerce_numeric(raw), True
-        else:
-            numeric = is_numeric_type(types[c]) or types[c] == "boolean"
-            series = raw
+        series = F.col(f"`{c}`")
+        numeric = is_numeric_type(types[c]) or types[c] == "boolean"
+        if rule is not None and rule.coerce_numeric and not numeric:
+            series, numeric = coerce_numeric(series), True
         if numeric:
             numeric_cols.append(c)
         strategy = rule.impute if rule else "median"
-        if strategy in ("median", "mean"):
-            v = series.cast("double") if numeric else parse_number(series)
-            if strategy == "mean":
-                aggs.append(F.avg(v).alias(f"f{i}"))
-            elif c in approx_median:
-                aggs.append(F.percentile_approx(v, F.lit(0.5), F.lit(10000)).cast("double").alias(f"f{i}"))
-            else:
-                aggs.append(F.percentile(v, F.lit(0.5)).alias(f"f{i}"))
+        value = series.cast("double") if numeric else parse_number(series)
+        if strategy == "mean":
+            means[c] = value
+        elif strategy == "median":
+            medians[c] = value
         elif strategy == "most_frequent":
-            aggs.append(F.mode(series.cast("string") if not numeric else series, True).cast("string").alias(f"f{i}"))
-    row = train.agg(*aggs).first().asDict() if aggs else {}
+            modes[c] = (value if numeric else series, numeric)
+    learned: dict[str, Any] = {**ranks.medians(train, medians), **ranks.modes(train, modes)}
+    if means:
+        row = train.agg(*[F.avg(v).alias(f"f{i}") for i, v in enumerate(means.values())]).first()
+        learned |= {c: row[f"f{i}"] for i, c in enumerate(means)}
 
     fill: dict[str, Any] = {}
-    for i, c in enumerate(columns):
+    for c in columns:
         rule = by_col.get(c)
         strategy = rule.impute if rule else "median"
         if strategy == "none":
@@ -152,10 +143,10 @@ def fit_cleaning(train: DataFrame, rules: list[CleanRule], columns: list[str] |
         if strategy == "constant":
             fill[c] = rule.fill_value if rule is not None and rule.fill_value is not None else 0
         elif strategy in ("median", "mean"):
-            v = row.get(f"f{i}")
+            v = learned.get(c)
             fill[c] = 0.0 if v is None else float(v)
         else:
-            v = row.get(f"f{i}")
+            v = learned.get(c)
             fill[c] = OTHER if v is None else (float(v) if c in numeric_cols else v)
 
     kept = fit_kept_levels(train, [r for r in rules if r.column in columns and r.rare_min_frequency])
@@ -183,7 +174,7 @@ def fit_kept_levels(train: DataFrame, rules: list[CleanRule]) -> dict[str, list[
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
     thresholds = train.sparkSession.createDataFrame([(r.column, float(r.rare_min_frequency)) for r in rules], "column string, f double")
     kept_rows = (
-        counts.join(totals, "column").join(F.broadcast(thresholds), "column")
+        counts.join(F.broadcast(totals), "column").join(F.broadcast(thresholds), "column")
         .where(F.col("n") / F.col("total") >= F.col("f"))
         .select("column", "level", "n")
         .collect()  # bounded: at most 1/f levels per column

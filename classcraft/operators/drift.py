@@ -9,16 +9,18 @@ outer edges open).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from classcraft.operators import ranks
+from classcraft.operators.profile import top_k_per_column
+
 EPSILON = 1e-6
 BUCKETS = 10
 MIN_SAMPLES = 30
 WATCH = 0.10
 ALERT = 0.25
-TOP_LEVELS = 50
-EXACT_QUANTILE_LIMIT = 2_000_000
+REST = "\u0001rest"  # the one bin of all levels that a cut baseline does not name
 QUANTILES = [i / BUCKETS for i in range(BUCKETS + 1)]
 
 
@@ -32,32 +34,11 @@ def _long_text(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(cells).alias("x")).select("x.*").where(F.col("level").isNotNull())
 
 
-def wide_columns(df: DataFrame, columns: list[str], limit: int = EXACT_QUANTILE_LIMIT) -> set[str]:
-    """Columns with more distinct values than an exact quantile should buffer
-    (one HyperLogLog pass over all of them)."""
-    if not columns:
-        return set()
-    row = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    return {c for i, c in enumerate(columns) if row[f"d{i}"] > limit}
-
-
-def quantile_edges(df: DataFrame, columns: list[str], approx: set[str] | frozenset | None = None) -> DataFrame:
-    """Distinct decile edges per numeric column (linear interpolation). (column, edges).
-
-    ``approx`` names the columns cut with ``percentile_approx``; by default the
-    columns whose distinct count exceeds ``EXACT_QUANTILE_LIMIT``.
-    """
-    if approx is None:
-        approx = wide_columns(df, columns)
-    qs = F.array(*[F.lit(q) for q in QUANTILES])
-    aggs = []
-    for c in columns:
-        v = F.col(f"`{c}`").cast("double")
-        v = F.when(~F.isnan(v), v)
-        q = F.percentile_approx(v, qs, F.lit(10000)) if c in approx else F.percentile(v, qs)
-        aggs.append(F.struct(F.lit(c).alias("column"), F.array_distinct(F.array_sort(q.cast("array<double>"))).alias("edges")))
-    return df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("e")).select("e.*") \
-        .where(F.size("edges") >= 2)
+def quantile_edges(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct decile edges per numeric column (exact, linear interpolation). (column, edges), columns with two edges at least."""
+    found = ranks.quantiles(df, {c: F.col(f"`{c}`").cast("double") for c in columns}, QUANTILES)
+    rows = [(c, sorted(set(q))) for c, q in found.items() if q and len(set(q)) > 1]
+    return df.sparkSession.createDataFrame(rows, "column string, edges array<double>")
 
 
 def _bin(edges: Column, v: Column) -> Column:
@@ -71,14 +52,14 @@ def _bin_shares(long: DataFrame, edges: DataFrame) -> DataFrame:
     counts = binned.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
     bins = edges.select("column", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-    return (bins.join(counts, ["column", "bin"], "left").join(totals, "column")
+    return (bins.join(counts, ["column", "bin"], "left").join(F.broadcast(totals), "column")
             .select("column", "bin", (F.coalesce(F.col("n"), F.lit(0)) / F.col("total")).alias("share")))
 
 
-def numeric_baseline(train: DataFrame, columns: list[str], approx: set[str] | frozenset | None = None) -> DataFrame:
+def numeric_baseline(train: DataFrame, columns: list[str]) -> DataFrame:
     """Per numeric column, stored edges (6 dp) and true bin shares (6 dp),
     counted on the unrounded edges. Columns: column, edges, shares."""
-    edges = quantile_edges(train, columns, approx).persist()
+    edges = quantile_edges(train, columns)
     shares = _bin_shares(_long_numeric(train, columns), edges)
     packed = shares.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("bin", "share"))).alias("s"))
     out = edges.join(packed, "column").select(
@@ -93,16 +74,23 @@ def level_shares(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, level, share) of non-null values, as text."""
     counts = _long_text(df, columns).groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "column").select("column", "level", (F.col("n") / F.col("total")).alias("share"), "n")
+    return counts.join(F.broadcast(totals), "column").select("column", "level", (F.col("n") / F.col("total")).alias("share"), "n")
 
 
-def categorical_baseline(train: DataFrame, columns: list[str]) -> DataFrame:
-    """Top-50 level shares per categorical column, 6 dp. (column, level, share)."""
-    from classcraft.operators.profile import top_k_per_column
+def categorical_baseline(train: DataFrame, columns: list[str], top: int | None = None, rest: bool = False) -> DataFrame:
+    """Level shares per categorical column, 6 dp. (column, level, share).
 
-    s = level_shares(train, columns).withColumnRenamed("level", "value")
-    top = top_k_per_column(s, TOP_LEVELS, [F.desc("n"), F.asc("value")])
-    return top.select("column", F.col("value").alias("level"), F.round("share", 6).alias("share"))
+    All levels, or the ``top`` most frequent; with ``rest`` those beyond are one further level, `REST`, and the PSI against
+    such a baseline counts every unnamed recent level there too.
+    """
+    s = level_shares(train, columns)
+    if top is None:
+        return s.select("column", "level", F.round("share", 6).alias("share"))
+    named = top_k_per_column(s.withColumnRenamed("level", "value"), top, [F.desc("n"), F.asc("value")]).select(
+        "column", F.col("value").alias("level"), "share")
+    if rest:
+        named = named.unionByName(named.groupBy("column").agg((1 - F.sum("share")).alias("share")).select("column", F.lit(REST).alias("level"), "share"))
+    return named.select("column", "level", F.round("share", 6).alias("share"))
 
 
 def _psi_terms(base: Column, new: Column) -> Column:
@@ -111,43 +99,67 @@ def _psi_terms(base: Column, new: Column) -> Column:
     return (n - b) * F.log(n / b)
 
 
+def _psi(paired: DataFrame) -> DataFrame:
+    """(column, psi, compared): PSI of the paired shares base and new; 0.0 and not compared if a side has no values at all."""
+    both = (F.count("base") > 0) & (F.count("new") > 0)
+    return paired.groupBy("column").agg(F.when(both, F.sum(_psi_terms(F.col("base"), F.col("new")))).otherwise(0.0).alias("psi"), both.alias("compared"))
+
+
+def _edges_psi(recent: DataFrame, baseline: DataFrame) -> DataFrame:
+    usable = baseline.where((F.size("edges") >= 2) & (F.size("shares") == F.size("edges") - 1))
+    stored = [r for r in usable.collect() if r["column"] in recent.columns]  # one row a column
+    local = recent.sparkSession.createDataFrame([(r["column"], r["edges"], r["shares"]) for r in stored],
+                                                "column string, edges array<double>, shares array<double>")
+    if not stored:
+        return local.select("column", F.lit(0.0).alias("psi"), F.lit(False).alias("compared"))
+    new = _bin_shares(_long_numeric(recent, [r["column"] for r in stored]), local.select("column", "edges"))
+    base = local.select("column", F.posexplode("shares").alias("bin", "base"))
+    return _psi(base.join(new.withColumnRenamed("share", "new"), ["column", "bin"], "left"))
+
+
+def _shares_psi(recent: DataFrame, shares: DataFrame) -> DataFrame:
+    names = [r["column"] for r in shares.select("column").distinct().collect() if r["column"] in recent.columns]
+    if not names:
+        return shares.select("column", F.lit(0.0).alias("psi"), F.lit(False).alias("compared")).limit(0)
+    base = shares.where(F.col("column").isin(*names)).select("column", "level", F.col("share").alias("base"))
+    new = level_shares(recent, names).select("column", "level", F.col("share").alias("new"))
+    cut = base.where(F.col("level") == REST).select("column", F.lit(True).alias("cut"))
+    if not cut.isEmpty():
+        known = base.select("column", "level", F.lit(True).alias("known"))
+        folded = new.join(F.broadcast(cut), "column", "left").join(known, ["column", "level"], "left")
+        level = F.when(F.col("cut") & F.col("known").isNull(), F.lit(REST)).otherwise(F.col("level"))
+        new = folded.groupBy("column", level.alias("level")).agg(F.sum("new").alias("new"))
+    return _psi(base.join(new, ["column", "level"], "full_outer"))
+
+
 def psi_from_edges(recent: DataFrame, baseline: DataFrame) -> DataFrame:
-    """PSI of recent values against stored edges and shares. (column, psi)."""
-    ok = baseline.where((F.size("edges") >= 2) & (F.size("shares") == F.size("edges") - 1))
-    cols = [r["column"] for r in ok.select("column").collect()]  # column names only
-    cols = [c for c in cols if c in recent.columns]
-    if not cols:
-        return recent.sparkSession.createDataFrame([], "column string, psi double")
-    new = _bin_shares(_long_numeric(recent, cols), ok.select("column", "edges"))
-    base = ok.select("column", F.posexplode("shares").alias("bin", "base"))
-    return (base.join(new, ["column", "bin"], "left")
-            .groupBy("column").agg(F.sum(_psi_terms(F.col("base"), F.col("share"))).alias("psi")))
+    """PSI of recent values against stored edges and shares, 0.0 without recent values. (column, psi)."""
+    return _edges_psi(recent, baseline).select("column", "psi")
 
 
 def psi_from_shares(recent: DataFrame, shares: DataFrame) -> DataFrame:
-    """PSI of recent levels against stored level shares (union of levels). (column, psi)."""
-    cols = [r["column"] for r in shares.select("column").distinct().collect()]
-    cols = [c for c in cols if c in recent.columns]
-    if not cols:
-        return recent.sparkSession.createDataFrame([], "column string, psi double")
-    new = level_shares(recent, cols).select("column", "level", F.col("share").alias("new"))
-    base = shares.where(F.col("column").isin(*cols)).select("column", "level", F.col("share").alias("base"))
-    return (base.join(new, ["column", "level"], "full_outer")
-            .groupBy("column").agg(F.sum(_psi_terms(F.col("base"), F.col("new"))).alias("psi")))
+    """PSI of recent levels against stored level shares (union of levels), 0.0 without recent values. (column, psi)."""
+    return _shares_psi(recent, shares).select("column", "psi")
+
+
+def _all_named(psi: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for every column, 0.0 where nothing could be compared."""
+    names = psi.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(psi, "column", "left").select("column", F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
 def psi_numeric(base_df: DataFrame, recent: DataFrame, columns: list[str]) -> DataFrame:
-    """D3: two-sample PSI, deciles cut on the base sample (unrounded edges)."""
+    """D3: two-sample PSI, deciles cut on the base sample (unrounded edges); 0.0 if a sample has no values or one value."""
     edges = quantile_edges(base_df, columns)
     b = _bin_shares(_long_numeric(base_df, columns), edges).withColumnRenamed("share", "base")
     n = _bin_shares(_long_numeric(recent, columns), edges).withColumnRenamed("share", "new")
-    return b.join(n, ["column", "bin"]).groupBy("column").agg(F.sum(_psi_terms(F.col("base"), F.col("new"))).alias("psi"))
+    return _all_named(_psi(b.join(n, ["column", "bin"], "left")), columns)
 
 
 def psi_categorical(base_df: DataFrame, recent: DataFrame, columns: list[str]) -> DataFrame:
-    """Two-sample PSI over the union of observed levels."""
+    """Two-sample PSI over the union of observed levels; 0.0 if a sample has no values."""
     base = level_shares(base_df, columns).select("column", "level", "share")
-    return psi_from_shares(recent, base)
+    return _all_named(psi_from_shares(recent, base), columns)
 
 
 def status(psi: Column) -> Column:
@@ -160,7 +172,7 @@ def drift_report(recent: DataFrame, numeric_base: DataFrame | None, level_base:
     overall status (the worst column's) on every row.
 
     ``insufficient_data`` under 30 rows; ``unavailable`` with no baseline or
-    no comparable column (one row, column NULL).
+    no comparable column (one row, column NULL). A column without recent values is not compared.
     Columns: column, psi, status, overall, n_recent.
     """
     spark = recent.sparkSession
@@ -172,13 +184,13 @@ def drift_report(recent: DataFrame, numeric_base: DataFrame | None, level_base:
         return spark.createDataFrame([(None, None, None, "insufficient_data", n)], schema)
     parts = []
     if numeric_base is not None:
-        parts.append(psi_from_edges(recent, numeric_base))
+        parts.append(_edges_psi(recent, numeric_base))
     if level_base is not None:
-        parts.append(psi_from_shares(recent, level_base))
+        parts.append(_shares_psi(recent, level_base))
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
-    rows = allp.select("column", F.round("psi", 4).alias("psi"), status(F.col("psi")).alias("status")).collect()
+    rows = allp.where("compared").select("column", F.round("psi", 4).alias("psi"), status(F.col("psi")).alias("status")).collect()
     if not rows:
         return spark.createDataFrame([(None, None, None, "unavailable", n)], schema)
     ordered = sorted(rows, key=lambda r: -r["psi"])  # one row per column

@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from classcraft.functions.expr import np_round
-from classcraft.operators.score import Scorer
+from classcraft.operators.score import INPUT, Scorer
 
 CURVE_POINTS = 25
 MAX_LEVERS = 4
 NON_NUMERIC_DISTANCE = 1e9
+CHANGE = "struct<field: int, step: int, from: string, number: double, text: string>"
 
 
 def _typed_lit(value, dtype: str) -> Column:
@@ -39,7 +40,9 @@ def _swap(df_types: dict[str, str], fields: list[dict], index_col: str, value_co
 
 
 def _scored(scorer: Scorer, df: DataFrame) -> DataFrame:
-    return scorer.probs(df).withColumn("_score", scorer.score_col()).drop("probs")
+    """``df`` as it is, with its score."""
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(INPUT), "*")
+    return scorer.probs(whole).select(f"{INPUT}.*", scorer.score_col().alias("_score"))
 
 
 def attribute(df: DataFrame, key: str, scorer: Scorer, fields: list[dict], top_n: int | None = None) -> DataFrame:
@@ -105,59 +108,58 @@ def what_if(df: DataFrame, key: str, scorer: Scorer, fields: list[dict], column:
     return scored.select(key, "point", F.col("_v").alias("value"), F.col("_score").alias("probability"))
 
 
+def _numeric_change(i: int, now: Column):
+    return lambda v, step: F.struct(F.lit(i).alias("field"), step.alias("step"), now.cast("string").alias("from"), v.alias("number"),
+                                    v.cast("string").alias("text"))
+
+
+def _steps(fields: list[dict], types: dict[str, str]) -> Column:
+    """All changes to try on a record, as an array of (field, step, from, number, text)."""
+    parts = []
+    for i, f in enumerate(fields):
+        x = F.col(f"`{f['name']}`")
+        if f.get("kind") == "categorical":
+            for step, level in enumerate(str(v) for v in (f.get("levels") or [])):
+                change = F.struct(F.lit(i).alias("field"), F.lit(step).alias("step"), x.cast("string").alias("from"),
+                                  F.lit(None).cast("double").alias("number"), F.lit(level).alias("text"))
+                parts.append(F.when(x.isNull() | (x.cast("string") != level), F.array(change)).otherwise(F.array().cast(f"array<{CHANGE}>")))
+        else:
+            high = F.lit(float(f.get("max", 1.0)))
+            now = F.coalesce(x.cast("double"), F.lit(float(f.get("min", 0.0))))
+            grid = F.slice(_grid(f, start=now), 2, CURVE_POINTS - 1)
+            values = F.transform(grid, lambda v: F.rint(v)) if f.get("integer") else grid
+            parts.append(F.when(now < high, F.transform(values, _numeric_change(i, now))).otherwise(F.array().cast(f"array<{CHANGE}>")))
+    return F.concat(*parts) if parts else F.array().cast(f"array<{CHANGE}>")
+
+
 def levers(df: DataFrame, key: str, scorer: Scorer, fields: list[dict], max_levers: int = MAX_LEVERS) -> DataFrame:
     """A3–A5: for records below the threshold, the smallest single change that
     reaches it. Numeric: first of 24 steps from the current value up to the
     training max; categorical: the best-scoring other level, if it reaches
     the threshold. Ranked by |to − from| (categorical last), keep 4.
     Columns: key, rank, column, from_value, to_value (text), to_number (numeric levers), gain.
+
+    One explode of all changes of a record, one scoring of them, one aggregate by (record, field).
     """
     types = dict(df.dtypes)
     fields = [f for f in fields if f["name"] in df.columns]
     names = [f["name"] for f in fields]
     t = F.lit(float(scorer.threshold))
-    base = _scored(scorer, df.select(key, *names)).withColumnRenamed("_score", "_current").where(F.col("_current") < t)
-    base = base.persist()
-    parts = []
-    for i, f in enumerate(fields):
-        n = f["name"]
-        if f.get("kind") == "categorical":
-            levels = [str(v) for v in (f.get("levels") or [])]
-            if not levels:
-                continue
-            ex = base.select("*", F.posexplode(F.array(*[F.lit(v) for v in levels])).alias("_step", "_to")) \
-                .where(F.col(f"`{n}`").isNull() | (F.col(f"`{n}`").cast("string") != F.col("_to")))
-            cols = [F.col("_to").cast(types[m]).alias(m) if m == n else F.col(f"`{m}`") for m in names]
-            sc = _scored(scorer, ex.select(key, "_current", "_step", "_to", F.col(f"`{n}`").cast("string").alias("_from"), *cols))
-            best = sc.groupBy(key).agg(
-                F.max_by(F.struct("_to", "_score", "_from", "_current"), F.struct(F.col("_score"), -F.col("_step"))).alias("b"))
-            best = best.where((F.col("b._score") > F.col("b._current")) & (F.col("b._score") >= t))
-            parts.append(best.select(key, F.lit(i).alias("_fi"), F.lit(n).alias("column"),
-                                     F.col("b._from").alias("from_value"), F.col("b._to").alias("to_value"),
-                                     F.lit(None).cast("double").alias("to_number"),
-                                     np_round(F.col("b._score") - F.col("b._current"), 4).alias("gain"),
-                                     F.lit(NON_NUMERIC_DISTANCE).alias("_dist")))
-        else:
-            hi = float(f.get("max", 1.0))
-            now = F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(float(f.get("min", 0.0))))
-            cand = base.where(now < F.lit(hi)).withColumn("_now", now)
-            grid = F.slice(_grid(f, start=F.col("_now")), 2, CURVE_POINTS - 1)
-            if f.get("integer"):
-                grid = F.transform(grid, lambda v: F.rint(v))
-            ex = cand.select("*", F.posexplode(grid).alias("_step", "_to"))
-            cols = [F.col("_to").cast(types[m]).alias(m) if m == n else F.col(f"`{m}`") for m in names]
-            sc = _scored(scorer, ex.select(key, "_current", "_now", "_step", "_to", *cols)).where(F.col("_score") >= t)
-            first = sc.groupBy(key).agg(F.min_by(F.struct("_to", "_score", "_now", "_current"), F.col("_step")).alias("b"))
-            parts.append(first.select(key, F.lit(i).alias("_fi"), F.lit(n).alias("column"),
-                                      F.col("b._now").cast("string").alias("from_value"), F.col("b._to").cast("string").alias("to_value"),
-                                      F.col("b._to").alias("to_number"),
-                                      np_round(F.col("b._score") - F.col("b._current"), 4).alias("gain"),
-                                      F.abs(F.col("b._to") - F.col("b._now")).alias("_dist")))
-    if not parts:
-        return df.sparkSession.createDataFrame([], f"{key} {types[key]}, rank int, column string, from_value string, to_value string, to_number double, gain double")
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    w = Window.partitionBy(key).orderBy(F.col("_dist"), F.col("_fi"))
-    return allp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_levers) \
-        .select(key, "rank", "column", "from_value", "to_value", "to_number", "gain")
+    low = _scored(scorer, df.select(key, *names)).withColumnRenamed("_score", "_current").where(F.col("_current") < t)
+    tried = low.select(key, "_current", F.explode(_steps(fields, types)).alias("_c"), *[F.col(f"`{n}`") for n in names])
+    swapped = [F.when(F.col("_c.field") == i, F.when(F.col("_c.number").isNotNull(), F.col("_c.number").cast("string")).otherwise(F.col("_c.text"))
+                      if types[n] == "string" else (F.col("_c.number") if f.get("kind") != "categorical" else F.col("_c.text")).cast(types[n]))
+               .otherwise(F.col(f"`{n}`")).alias(n) for i, (n, f) in enumerate(zip(names, fields))]
+    scored = _scored(scorer, tried.select(key, "_current", "_c", *swapped))
+    # numeric: the first step that reaches the threshold; categorical: the best level, if it does
+    first = F.when(F.col("_c.number").isNotNull(), F.col("_c.step").cast("double")).otherwise(-F.col("_score"))
+    best = (scored.where((F.col("_score") >= t) & (F.col("_score") > F.col("_current"))).groupBy(key, F.col("_c.field").alias("_fi"))
+            .agg(F.min_by(F.struct("_c", "_score", "_current"), F.struct(first.alias("o"), F.col("_c.step").alias("s"))).alias("b")))
+    change = F.col("b._c")
+    distance = F.when(change["number"].isNotNull(), F.abs(change["number"] - change["from"].cast("double"))).otherwise(F.lit(NON_NUMERIC_DISTANCE))
+    w = Window.partitionBy(key).orderBy("_dist", "_fi")
+    ranked = best.select(key, "_fi", F.element_at(F.array(*map(F.lit, names)), F.col("_fi") + 1).alias("column"),
+                         change["from"].alias("from_value"), change["text"].alias("to_value"), change["number"].alias("to_number"),
+                         np_round(F.col("b._score") - F.col("b._current"), 4).alias("gain"), distance.alias("_dist"))
+    return (ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_levers)
+            .select(key, "rank", "column", "from_value", "to_value", "to_number", "gain"))

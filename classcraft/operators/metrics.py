@@ -7,19 +7,22 @@ probabilities aligned with a ``labels`` list).
 Every curve metric rests on one primitive, ``score_curve``: per distinct
 score, the counts at that score and the cumulative counts at or above it.
 It never uses an unpartitioned window (which would put every row on one
-task): scores are grouped (map-side combined), split into value buckets,
-bucket totals are cumulated (≤ B rows per class) and broadcast back as
-offsets, and the running sum is taken inside each bucket only.
+task): scores are grouped (map-side combined), dealt to sampled ranges,
+range totals are cumulated (one row per range and class) and broadcast back as
+offsets, and the running sum is taken inside each range only.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from classcraft.session import ensure_checkpoint_dir
+
 EPS = 2.220446049250313e-16
 CURVE_POINTS = 200
-CURVE_BUCKETS = 1024
 
 
 # ── M1 ─────────────────────────────────────────────────────────────────────
@@ -32,20 +35,22 @@ def renormalize(probs: Column) -> Column:
 
 
 # ── cumulative-count primitive ─────────────────────────────────────────────
-def running_totals(df: DataFrame, order_col: str, sums: list[str], by: list[str] | tuple = (),
-                   lo: float = 0.0, hi: float = 1.0, buckets: int = CURVE_BUCKETS) -> DataFrame:
+def running_totals(df: DataFrame, order_col: str, sums: list[str], by: list[str] | tuple = ()) -> DataFrame:
     """Inclusive running sums of ``sums`` in descending ``order_col`` per ``by`` group.
 
-    ``df`` must hold one row per (by, order value). Values are bucketed on
-    [lo, hi]; bucket offsets (≤ ``buckets`` rows per group) are broadcast.
+    ``df`` must hold one row per (by, order value). The rows are dealt to ranges of (by, order value) by sampled bounds, so
+    a range holds a bounded share of the rows whatever the values are; the written ranges keep their numbers, their totals are
+    summed up (one row per range and group) and broadcast as offsets, and the running sum is taken inside each range only.
     """
     by = list(by)
-    x = F.col(order_col)
-    span = float(hi - lo) if hi > lo else 1.0
-    b = F.least(F.greatest(F.floor((x - F.lit(lo)) / F.lit(span) * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    with_b = df.withColumn("_b", b)
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = df.repartitionByRange(ranges, *by, F.desc(order_col)).withColumn("_b", F.spark_partition_id())
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/curve-{uuid.uuid4().hex}"
+    dealt.write.parquet(path)
+    with_b = spark.read.schema(dealt.schema).parquet(path)
     totals = with_b.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    wb = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{s}").over(wb), F.lit(0)).alias(f"_o_{s}") for s in sums])
     w = Window.partitionBy(*by, "_b").orderBy(F.desc(order_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = with_b.join(F.broadcast(offsets), [*by, "_b"])
@@ -78,7 +83,7 @@ def _attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 # ── threshold metrics (M3–M5) ──────────────────────────────────────────────
-def binary_threshold_metrics(df: DataFrame, threshold: float) -> DataFrame:
+def binary_threshold_metrics(df: DataFrame, threshold: float, by: list[str] | tuple = ()) -> DataFrame:
     """M3–M5, M9, M10 at one threshold, in one aggregate pass.
 
     Columns: n, accuracy, balanced_accuracy, precision, recall, f1,
@@ -86,7 +91,7 @@ def binary_threshold_metrics(df: DataFrame, threshold: float) -> DataFrame:
     """
     y, p = F.col("y"), F.col("p")
     yhat = (p >= F.lit(float(threshold))).cast("int")
-    a = df.agg(
+    a = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(((yhat == 1) & (y == 1)).cast("long")).alias("tp"),
         F.sum(((yhat == 1) & (y == 0)).cast("long")).alias("fp"),
@@ -104,7 +109,7 @@ def binary_threshold_metrics(df: DataFrame, threshold: float) -> DataFrame:
     bal = F.coalesce(F.try_divide(F.when(tp + fn > 0, recall).otherwise(zero) + F.when(tn + fp > 0, spec).otherwise(zero), present), zero)
     f1 = F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), zero)
     return a.select(
-        "n",
+        *by, "n",
         F.coalesce(F.try_divide(tp + tn, n), zero).alias("accuracy"),
         bal.alias("balanced_accuracy"),
         precision.alias("precision"),
@@ -170,13 +175,12 @@ def _thin_index(n: Column, limit: int = CURVE_POINTS) -> Column:
     return F.when(n <= limit, F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"))).otherwise(idx)
 
 
-def _ranked(curve: DataFrame, ascending: bool, top: float = 1.0) -> DataFrame:
-    """Attach the 0-based position of each distinct score in [0, top] (bucketed running count)."""
+def _ranked(curve: DataFrame, ascending: bool) -> DataFrame:
+    """Attach the 0-based position of each distinct score (ranged running count)."""
     one = curve.withColumn("_one", F.lit(1).cast("long"))
     order = F.col("p") if not ascending else -F.col("p")
     keyed = one.withColumn("_o", order)
-    lo, hi = (0.0, top) if not ascending else (-top, 0.0)
-    r = running_totals(keyed, "_o", ["_one"], lo=lo, hi=hi)
+    r = running_totals(keyed, "_o", ["_one"])
     return r.withColumn("idx", F.col("c_one") - 1).drop("_one", "c_one", "_o")
 
 
@@ -195,7 +199,7 @@ def roc_points(curve: DataFrame) -> DataFrame:
     kept = x.where(keep).select("p", "ctp", "cfp", "n_pos", "n_neg")
     zero = kept.limit(1).select(F.lit(2.0).alias("p"), F.lit(0).cast("long").alias("ctp"), F.lit(0).cast("long").alias("cfp"), "n_pos", "n_neg")
     pts = kept.unionByName(zero).withColumn("tp", F.lit(0)).withColumn("fp", F.lit(0))
-    pts = _ranked(pts, ascending=False, top=2.0)
+    pts = _ranked(pts, ascending=False)
     m = pts.agg(F.count(F.lit(1)).alias("m"))
     pts = _attach_scalars(pts, m)
     chosen = pts.where(F.array_contains(_thin_index(F.col("m")), F.col("idx")))
@@ -228,19 +232,20 @@ def argmax_label(probs: Column, labels: list[str]) -> Column:
     return F.element_at(arr, F.array_position(probs, F.array_max(probs)).cast("int"))
 
 
-def multiclass_metrics(df: DataFrame, labels: list[str]) -> DataFrame:
+def multiclass_metrics(df: DataFrame, labels: list[str], by: list[str] | tuple = ()) -> DataFrame:
     """M3/M4 multiclass: accuracy, balanced accuracy (classes in truth), and
-    macro precision/recall/F1 over labels in truth ∪ prediction; one row."""
+    macro precision/recall/F1 over labels in truth ∪ prediction; one row (a group)."""
     scored = df.withColumn("yhat", argmax_label(F.col("probs"), labels))
-    per_true = scored.groupBy(F.col("y").alias("label")).agg(
+    by = list(by)
+    per_true = scored.groupBy(*by, F.col("y").alias("label")).agg(
         F.count(F.lit(1)).alias("support"), F.sum((F.col("yhat") == F.col("y")).cast("long")).alias("tp"))
-    per_pred = scored.groupBy(F.col("yhat").alias("label")).agg(F.count(F.lit(1)).alias("predicted"))
-    per = per_true.join(per_pred, "label", "full_outer").fillna(0, ["support", "tp", "predicted"])
+    per_pred = scored.groupBy(*by, F.col("yhat").alias("label")).agg(F.count(F.lit(1)).alias("predicted"))
+    per = per_true.join(per_pred, [*by, "label"], "full_outer").fillna(0, ["support", "tp", "predicted"])
     z = F.lit(0.0)
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("predicted")), z)
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("support")), z)
     f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("support") + F.col("predicted")), z)
-    return per.agg(
+    return per.groupBy(*by).agg(
         (F.sum("tp") / F.sum("support")).alias("accuracy"),
         F.avg(F.when(F.col("support") > 0, rec)).alias("balanced_accuracy"),
         F.avg(prec).alias("precision"),
@@ -305,3 +310,10 @@ def binary_report(df: DataFrame, threshold: float) -> DataFrame:
     ap = average_precision_from_curve(curve).first()["average_precision"]
     curve.unpersist()
     return base.select("*", F.lit(auc).cast("double").alias("roc_auc"), F.lit(ap).cast("double").alias("average_precision"))
+
+
+def binary_report_by(df: DataFrame, threshold: float, by: list[str]) -> DataFrame:
+    """`binary_report` for each group of ``by``: one row a group."""
+    curve = score_curve(df, by)
+    ranked = auc_from_curve(curve, by).join(average_precision_from_curve(curve, by), by)
+    return binary_threshold_metrics(df, threshold, by).join(F.broadcast(ranked), by, "left")

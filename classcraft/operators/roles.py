@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from classcraft.operators.profile import MAX_CATEGORY_CARDINALITY
+from classcraft.operators.profile import MAX_CATEGORY_CARDINALITY, row_hashes
+from classcraft.sources.io import canonical_names
 
 SPARSE_MISSING_PCT = 60.0
 ROLES = ("numeric_feature", "categorical_feature", "target", "identifier", "drop")
@@ -21,8 +22,10 @@ def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
-    """drop identical rows over all columns (one shuffle on the whole row)."""
-    return df.dropDuplicates()
+    """one row of each identical group stays, by the 128-bit hash of its columns (MAP columns are not compared)."""
+    a, b = row_hashes(df)
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), a.alias("a"), b.alias("b"))
+    return whole.dropDuplicates(["a", "b"]).select("row.*")
 
 
 def auto_roles(prof: DataFrame, target: str, overrides: dict[str, str] | None = None,
@@ -64,21 +67,19 @@ def auto_roles(prof: DataFrame, target: str, overrides: dict[str, str] | None =
 def reconcile(df: DataFrame, expected: list[tuple[str, str]]) -> tuple[DataFrame, dict]:
     """align a table with the expected (name, type) columns.
 
-    Absent columns become typed NULLs, extra ones are dropped, and the order
-    is the training order. Returns the projected frame and a report
-    (present / missing / extra / usable).
+    Headers that are not expected as they stand are canonicalised. Absent columns become typed NULLs, extra ones are
+    dropped, and the order is the training order. Returns the projected frame and a report
+    (expected / present / missing / extra / renamed / usable).
     """
-    have = set(df.columns)
-    cols = [F.col(f"`{c}`").cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in expected]
     names = [c for c, _ in expected]
-    report = {
-        "expected": names,
-        "present": [c for c in names if c in have],
-        "missing": [c for c in names if c not in have],
-        "extra": [c for c in df.columns if c not in set(names)],
-    }
-    report["usable"] = bool(report["present"])
-    return df.select(*cols), report
+    canonical = canonical_names(df.columns)
+    taken = set(df.columns)
+    renamed = {c: canonical[c] for c in df.columns if c not in names and canonical[c] in names and canonical[c] not in taken}
+    source = {renamed.get(c, c): c for c in df.columns}
+    cols = [(F.col(f"`{source[c]}`") if c in source else F.lit(None)).cast(t).alias(c) for c, t in expected]
+    present = [c for c in names if c in source]
+    return df.select(*cols), {"expected": names, "present": present, "missing": [c for c in names if c not in source],
+                              "extra": [c for c in source if c not in names], "renamed": renamed, "usable": bool(present)}
 
 
 def fill_defaults(df: DataFrame, defaults: dict[str, object], keep: list[str] | None = None) -> DataFrame:
@@ -90,8 +91,3 @@ def fill_defaults(df: DataFrame, defaults: dict[str, object], keep: list[str] |
     passthrough = [F.col(f"`{c}`") for c in (keep or []) if c in have and c not in defaults]
     cols = [F.col(f"`{c}`") if c in have else F.lit(v).alias(c) for c, v in defaults.items()]
     return df.select(*passthrough, *cols)
-
-
-def awaiting_outcome(log: DataFrame) -> DataFrame:
-    """prediction-log rows that still have no confirmed outcome."""
-    return log.where(F.col("actual_label").isNull())

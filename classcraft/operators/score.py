@@ -20,6 +20,7 @@ from classcraft.operators.metrics import argmax_label, renormalize
 BORDERLINE_MARGIN = 0.10
 CONFIDENT_MARGIN = 0.30
 HISTOGRAM_BINS = 40
+INPUT = "__input_row"
 # The confidence band names.
 BANDS = ("Borderline", "Moderate confidence", "High confidence")
 
@@ -77,11 +78,12 @@ def band_expr(score: Column, threshold: float) -> Column:
 
 def score_frame(df: DataFrame, scorer: Scorer) -> DataFrame:
     """SC1–SC5: input columns + prediction, p_<label> (4 dp), probability (4 dp), confidence."""
-    scored = scorer.probs(df)
+    # the caller's columns travel in a struct of their own, whatever names the model uses
+    scored = scorer.probs(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(INPUT), "*"))
     per_label = [np_round(F.element_at(F.col("probs"), i + 1), 4).alias(f"p_{label}") for i, label in enumerate(scorer.labels)]
     s = scorer.score_col()
     return scored.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        f"{INPUT}.*",
         label_expr(scorer).alias("prediction"),
         *per_label,
         np_round(s, 4).alias("probability"),

@@ -286,9 +286,10 @@ X26_SQL = records_cte(
 
 def record_features(spark, sf):
     """Profile → roles → auto cleaning (fit) → auto features (fit) over `records`."""
-    df, rows, numeric, categorical, state = _auto_clean(spark, sf)
+    df, p, rows, numeric, categorical = record_plan(spark, sf)
+    state = fit_cleaning(df, auto_rules(rows, numeric, categorical))
     cleaned = apply_cleaning(df, state, keep=("record_id", "outcome"))
-    tops = prof.top_values(df, None).where(F.col("rank") == 1).collect()
+    tops = prof.top_values(df, p, k=1).collect()
     top = {r["column"]: r["value"] for r in tops}
     specs = auto_features(rows, numeric, categorical, top)
     fstate = fit_features(cleaned, specs)

@@ -50,7 +50,44 @@ def s5_append_log(spark, sf):
                        F.get_json_object("inputs", "$.department").alias("department"))
 
 
-@register("s6_recent", WITH + "SELECT id, predicted_label, probability FROM log WHERE model_version = 'v2' ORDER BY id DESC LIMIT 200")
+TWO_BATCHES = SCORED_SQL + (
+    ", two AS (SELECT 'b1' AS batch_id, TIMESTAMP '2024-01-01 00:00:00' AS created_at, * FROM out UNION ALL "
+    "SELECT 'b2', TIMESTAMP '2024-01-02 00:00:00', * FROM out WHERE training = 'Yes') ")
+
+
+def two_appends(spark, sf):
+    """A log of two appended batches, and outcomes for every third record of the second batch."""
+    path = scratch(spark, "log")
+    scored = SC.score_frame(records(spark, sf), fitted_scorer(spark, sf))
+    for batch, day, rows in (("b1", "2024-01-01", scored), ("b2", "2024-01-02", scored.where(F.col("training") == "Yes"))):
+        L.append_log(L.log_entries(rows, ["score"], ["approved", "rejected"], "v1", "outcome", batch, reference="record_id",
+                                   created_at=f"{day} 00:00:00"), path)
+    log = L.read_log(spark, path)
+    outcomes = log.where((F.col("batch_id") == "b2") & (F.col("reference").cast("long") % 3 == 0)).select(
+        "id", F.lit("approved").alias("actual_label"), F.col("created_at").alias("recorded_at"))
+    return log, outcomes
+
+
+@register("s5_two_appends", TWO_BATCHES + (
+    "SELECT batch_id, CAST(record_id AS VARCHAR) AS reference, CASE WHEN batch_id = 'b2' AND record_id % 3 = 0 THEN 'approved' END AS actual_label, "
+    "(SELECT count(*) FROM two) AS n_ids FROM two"))
+def s5_two_appends(spark, sf):
+    """Ids are distinct across appends, so an outcome attaches to one prediction."""
+    log, outcomes = two_appends(spark, sf)
+    ids = log.agg(F.count_distinct("id").alias("n")).first()["n"]
+    return L.with_outcomes(log, outcomes).select("batch_id", "reference", "actual_label", F.lit(ids).cast("bigint").alias("n_ids"))
+
+
+@register("s6_recent_batches", TWO_BATCHES + "SELECT batch_id, count(*) AS n FROM (SELECT batch_id FROM two ORDER BY created_at DESC LIMIT "
+          "(SELECT CAST(count(*) AS BIGINT) FROM out WHERE training = 'Yes')) GROUP BY 1")
+def s6_recent_batches(spark, sf):
+    """The newest rows are those of the last batch."""
+    log, _ = two_appends(spark, sf)
+    n = log.where(F.col("batch_id") == "b2").count()
+    return L.recent(log, n).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("s6_recent", WITH + "SELECT id, predicted_label, probability FROM log WHERE model_version = 'v2' ORDER BY created_at DESC, id DESC LIMIT 200")
 def s6_recent(spark, sf):
     return L.recent(_log(spark, sf), 200, "v2").select("id", "predicted_label", "probability")
 
@@ -75,7 +112,7 @@ def h3_labelled_rows(spark, sf):
     return L.labelled_for_target(_log(spark, sf), _outcomes(spark, sf), ["k"], "event_type")
 
 
-@register("h4_summary", WITH + "SELECT count(*) AS total, count(actual_label) AS labelled, arg_max(created_at, id) AS last FROM log LEFT JOIN latest USING (id)")
+@register("h4_summary", WITH + "SELECT count(*) AS total, count(actual_label) AS labelled, max(created_at) AS last FROM log LEFT JOIN latest USING (id)")
 def h4_summary(spark, sf):
     return L.summary(_log(spark, sf), _outcomes(spark, sf))
 

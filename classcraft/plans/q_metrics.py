@@ -278,7 +278,7 @@ D2_SQL = records_cte(LV, TOT)
     "SELECT \"column\", level, round(n / total, 6) AS share FROM (SELECT lv.*, total, row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, level) AS rk "
     "FROM lv JOIN tot USING (\"column\")) WHERE rk <= 50"))
 def d2_categorical_baseline(spark, sf):
-    return D.categorical_baseline(records(spark, sf), ["department", "training"])
+    return D.categorical_baseline(records(spark, sf), ["department", "training"], top=50)
 
 
 PSI = "(greatest(coalesce({n}, 0.0), 1e-6) - greatest(coalesce({b}, 0.0), 1e-6)) * ln(greatest(coalesce({n}, 0.0), 1e-6) / greatest(coalesce({b}, 0.0), 1e-6))"
@@ -316,7 +316,7 @@ def d4_psi_categorical(spark, sf):
     f"SELECT coalesce(base.\"column\", lr.\"column\") AS \"column\", round(sum({PSI.format(n='lr.share', b='base.share')}), 6) AS psi "
     "FROM base FULL OUTER JOIN lr ON base.\"column\" = lr.\"column\" AND base.level = lr.level GROUP BY 1"))
 def d5_psi_from_shares(spark, sf):
-    base = D.categorical_baseline(records(spark, sf), ["department", "training"])
+    base = D.categorical_baseline(records(spark, sf), ["department", "training"], top=50)
     return D.psi_from_shares(recent(spark, sf), base).select("column", r6("psi"))
 
 
@@ -357,5 +357,26 @@ STATUS = "CASE WHEN psi >= 0.25 THEN 'alert' WHEN psi >= 0.10 THEN 'watch' ELSE
 def d8_drift_report(spark, sf):
     r = records(spark, sf)
     nb = D.numeric_baseline(r, NUMERIC)
-    cb = D.categorical_baseline(r, ["department", "training"])
+    cb = D.categorical_baseline(r, ["department", "training"], top=50)
     return D.drift_report(recent(spark, sf), nb, cb)
+
+
+# ── drift with empty sides ──────────────────────────────────────────────────
+@register("d3_d6_empty_sides", "SELECT * FROM (VALUES ('d3', 'score', 0.0), ('d3', 'attendance', 0.0), ('d4', 'training', 0.0), ('d5', 'training', 0.0), "
+          "('d6', 'score', 0.0), ('d6', 'rating', 0.0)) AS t(op, \"column\", psi)")
+def d3_d6_empty_sides(spark, sf):
+    """D3–D6 where the recent sample has rows but no values: 0.0 for every column, no alert."""
+    r = records(spark, sf)
+    empty = r.withColumns({c: F.lit(None).cast(t) for c, t in (("score", "double"), ("attendance", "double"), ("rating", "double"), ("training", "string"))})
+    parts = {"d3": D.psi_numeric(r, empty, ["score", "attendance"]), "d4": D.psi_categorical(r, empty, ["training"]),
+             "d5": D.psi_from_shares(empty, D.categorical_baseline(r, ["training"])), "d6": D.psi_from_edges(empty, D.numeric_baseline(r, ["score", "rating"]))}
+    rows = [p.select(F.lit(name).alias("op"), "column", "psi") for name, p in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+@register("d8_drift_all_null_column", records_cte() + "SELECT 'projects' AS \"column\", 0.0 AS psi, 'ok' AS status, 'ok' AS overall, (SELECT count(*) FROM records) AS n_recent")
+def d8_drift_all_null_column(spark, sf):
+    """A column without recent values and a column the table lacks are not compared; the others are."""
+    r = records(spark, sf)
+    base = D.numeric_baseline(r, ["score", "projects", "rating"])
+    return D.drift_report(r.withColumn("score", F.lit(None).cast("double")).drop("rating"), base, None)

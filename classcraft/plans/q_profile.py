@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from classcraft.catalog import records_cte, register
 from classcraft.operators import profile as prof
-from classcraft.operators import roles, target
+from classcraft.operators import ranks, roles, target
 from classcraft.operators.clean import auto_rules, fit_cleaning
+from classcraft.operators.schema import input_schema
 from classcraft.session import ensure_checkpoint_dir
 from classcraft.sources import io
 from classcraft.sources.tables import records, table
@@ -36,8 +37,8 @@ def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def _profile(spark, sf):
-    return prof.profile(records(spark, sf))
+def _profile(spark, sf, median=False):
+    return prof.profile(records(spark, sf), median)
 
 
 # ── SQL pieces for the profile oracle ───────────────────────────────────────
@@ -141,7 +142,7 @@ def s4_seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
 # ── P1–P10 ──────────────────────────────────────────────────────────────────
 @register("p1_missing", PROFILE + "SELECT \"column\", n_rows, n_missing, round(missing_pct, 6) AS missing_pct FROM prof")
 def p1_missing(spark, sf):
-    return _profile(spark, sf).select("column", "n_rows", "n_missing", r6("missing_pct").alias("missing_pct"))
+    return prof.missing_counts(records(spark, sf)).select("column", "n_rows", "n_missing", r6("missing_pct").alias("missing_pct"))
 
 
 @register("p2_distinct", PROFILE + "SELECT \"column\", n_unique, round(unique_ratio, 6) AS unique_ratio FROM prof")
@@ -156,7 +157,7 @@ def p3_kind(spark, sf):
 
 @register("p4_moments", PROFILE + "SELECT \"column\", round(minimum, 6) AS minimum, round(maximum, 6) AS maximum, round(mean, 6) AS mean, round(std, 6) AS std, round(median, 6) AS median FROM prof WHERE kind IN ('numeric', 'boolean')")
 def p4_moments(spark, sf):
-    p = _profile(spark, sf).where(F.col("kind").isin("numeric", "boolean"))
+    p = _profile(spark, sf, median=True).where(F.col("kind").isin("numeric", "boolean"))
     return p.select("column", *[r6(c).alias(c) for c in ("minimum", "maximum", "mean", "std", "median")])
 
 
@@ -176,7 +177,7 @@ def _vc_sql(types=RECORD_TYPES) -> str:
           "FROM vc JOIN prof USING (\"column\") WHERE kind IN ('categorical', 'boolean', 'constant')) WHERE rank <= 10")
 def p6_top_values(spark, sf):
     df = records(spark, sf)
-    return prof.top_values(df, prof.profile(df)).select("column", F.col("rank").cast("bigint").alias("rank"), "value", "n")
+    return prof.top_values(df).select("column", F.col("rank").cast("bigint").alias("rank"), "value", "n")
 
 
 @register("p7_sample_values", records_cte(f"vc AS ({_vc_sql()})")
@@ -187,7 +188,7 @@ def p7_sample_values(spark, sf):
 
 @register("p8_numeric_like", PROFILE + "SELECT \"column\", numeric_like FROM prof")
 def p8_numeric_like(spark, sf):
-    return _profile(spark, sf).select("column", "numeric_like")
+    return prof.numeric_like(records(spark, sf))
 
 
 @register("p9_identifier", PROFILE + "SELECT \"column\", is_identifier FROM prof")
@@ -292,7 +293,7 @@ def p15_target_guard_ok(spark, sf):
 def record_plan(spark, sf):
     """Profile → roles → cleaning rules for `records` (driver sees one row per column)."""
     df = records(spark, sf)
-    p = prof.profile(df)
+    p = prof.profile(df, median=False)
     rows = prof.profile_rows(p)
     rl = {r["column"]: r["role"] for r in roles.auto_roles(p, "outcome").collect()}
     numeric = [r["column"] for r in rows if rl.get(r["column"]) == "numeric_feature"]
@@ -300,39 +301,6 @@ def record_plan(spark, sf):
     return df, p, rows, numeric, categorical
 
 
-def input_schema(df: DataFrame, numeric: list[str], categorical: list[str], kept: dict[str, list[str]]) -> DataFrame:
-    """One row per feature — numeric range/median/step/integer, categorical levels + mode."""
-    spark = df.sparkSession
-    aggs = []
-    for c in numeric:
-        v = F.col(c).cast("double")
-        integral = F.coalesce(F.bool_and(F.when(v.isNotNull(), v % 1 == 0)), F.lit(True))
-        aggs.append(F.struct(F.lit(c).alias("name"), F.min(v).alias("min"), F.max(v).alias("max"),
-                             F.percentile(v, F.lit(0.5)).alias("median"), integral.alias("integer"), F.count(v).alias("n")))
-    rows = df.agg(*aggs).first() if aggs else []
-    out = []
-    for s in rows:
-        if s["n"] == 0:
-            out.append((s["name"], "numeric", 0.0, 1.0, 0.0, 0.1, False, None, None))
-            continue
-        lo, hi = float(s["min"]), float(s["max"])
-        integer = bool(s["integer"]) or dict(df.dtypes)[s["name"]] in ("int", "bigint", "smallint", "tinyint", "boolean")
-        step = 1.0 if integer else round(max((hi - lo) / 100, 0.01), 4)
-        out.append((s["name"], "numeric", lo, hi, float(s["median"]), step, integer, None, None))
-    schema = "name string, kind string, min double, max double, default double, step double, integer boolean, levels array<string>, default_level string"
-    num_df = spark.createDataFrame(out, schema)
-    if not categorical:
-        return num_df
-    modes = df.agg(*[F.mode(F.col(c).cast("string"), True).alias(c) for c in categorical]).first()
-    observed = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in categorical]).first() \
-        if any(not kept.get(c) for c in categorical) else None
-    cat = []
-    for c in categorical:
-        levels = kept.get(c) or (observed[c][:50] if observed else [])
-        cat.append((c, "categorical", None, None, None, None, None, sorted(set(levels)), modes[c]))
-    return num_df.unionByName(spark.createDataFrame(cat, schema))
-
-
 P16_SQL = records_cte() + (
     ", num AS (SELECT name, 'numeric' AS kind, lo AS min, hi AS max, med AS \"default\", "
     "CASE WHEN integer THEN 1.0 ELSE round(greatest((hi - lo) / 100, 0.01), 4) END AS step, integer FROM ("
@@ -398,6 +366,6 @@ def f4_reconcile(spark, sf):
 @register("f5_fill_defaults", records_cte() + "SELECT record_id, score, (SELECT quantile_cont(attendance, 0.5) FROM records) AS attendance FROM records")
 def f5_fill_defaults(spark, sf):
     df = records(spark, sf)
-    median = df.agg(F.percentile("attendance", F.lit(0.5)).alias("m")).first()["m"]
+    median = ranks.medians(df, {"attendance": F.col("attendance")})["attendance"]
     partial = df.select("record_id", "score")
     return roles.fill_defaults(partial, {"record_id": None, "score": 0.0, "attendance": float(median)})

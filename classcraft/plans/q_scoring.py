@@ -10,7 +10,8 @@ from classcraft.operators import metrics as M
 from classcraft.operators import score as SC
 from classcraft.operators.clean import auto_rules, fit_cleaning
 from classcraft.plans.q_metrics import CURVE_SQL, LABELS, LI, lineitem_probs, scored
-from classcraft.plans.q_profile import input_schema, record_plan
+from classcraft.operators.schema import input_schema
+from classcraft.plans.q_profile import record_plan
 from classcraft.sources.tables import FORMULA_SCORE_SQL, records, table
 
 # Fixed second formula for the explanation queries: adds a categorical term so

@@ -29,7 +29,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", os.environ.get("CLASSCRAFT_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("CLASSCRAFT_DRIVER_MEMORY", "8g"))
     )
     for key, value in _DEFAULTS.items():
         builder = builder.config(key, value)
@@ -43,19 +43,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (HDFS/S3/ABFS) folder there and we use it as is.
-    Only when it is unset (local tests) do we create a scratch folder.
+    Only a local master may leave it unset: driver and executors are one machine then, and a
+    scratch folder is made. Elsewhere an unset folder is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="classcraft-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
-
-
-def apply_defaults(spark: SparkSession) -> SparkSession:
-    """Set our preferred SQL settings on an existing session where unset."""
-    for key, value in _DEFAULTS.items():
-        if spark.conf.get(key, None) is None:
-            spark.conf.set(key, value)
-    return spark

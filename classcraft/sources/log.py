@@ -18,16 +18,18 @@ LOG_COLUMNS = ("id", "created_at", "model_version", "target_column", "source", "
 
 def log_entries(scored: DataFrame, inputs: list[str], labels: list[str], model_version: str,
                 target: str, batch_id: str, source: str = "batch", reference: str | None = None,
-                created_at: str | None = None, first_id: int = 0) -> DataFrame:
+                created_at: str | None = None, key: str | None = None) -> DataFrame:
     """S5 (rows): one log row per scored record, all tagged with one batch id.
 
-    ``id`` is assigned once here (``first_id`` + a per-partition increasing
-    id) and persisted by the write, so it never changes on re-read.
+    ``id`` is a 64-bit hash of the batch id and the record's ``key`` (unique within the batch; ``reference`` by default),
+    so appends share no ids and a retried task writes the same ones. Without a key it is the hash of a random UUID.
     """
+    key = key or reference
+    unique = F.xxhash64(F.lit(batch_id), F.col(f"`{key}`")) if key else F.xxhash64(F.expr("uuid()"))
     ts = F.lit(created_at).cast("timestamp") if created_at else F.current_timestamp()
     probs = F.to_json(F.create_map(*[x for lbl in labels for x in (F.lit(lbl), F.col(f"`p_{lbl}`"))]))
     return scored.select(
-        (F.lit(first_id) + F.monotonically_increasing_id()).alias("id"),
+        unique.alias("id"),
         ts.alias("created_at"),
         F.lit(model_version).alias("model_version"),
         F.lit(target).alias("target_column"),
@@ -83,7 +85,7 @@ def recent(log: DataFrame, n: int = 200, model_version: str | None = None) -> Da
     """The newest ``n`` rows, optionally of one version (TakeOrderedAndProject)."""
     if model_version is not None:
         log = log.where(F.col("model_version") == model_version)
-    return log.orderBy(F.desc("id")).limit(n)
+    return log.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
 
 
 def latest_outcomes(outcomes: DataFrame) -> DataFrame:
@@ -129,7 +131,7 @@ def summary(log: DataFrame, outcomes: DataFrame, model_version: str | None = Non
     return j.agg(
         F.count(F.lit(1)).alias("total"),
         F.count("actual_label").alias("labelled"),
-        F.max_by("created_at", "id").alias("last"),
+        F.max("created_at").alias("last"),
     )
 
 

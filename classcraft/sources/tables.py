@@ -1,8 +1,8 @@
 """The provided parquet tables and the `records` fixture derived from them.
 
 `records` is the classification table used across the library's queries:
-orders joined to customer, with columns shaped like a student-placement
-sheet (identifier, nulls, numbers-as-text, rare and untrimmed levels, a
+orders joined to customer, with columns of every shape the operators tell
+apart (identifier, nulls, numbers-as-text, rare and untrimmed levels, a
 constant, free text, three same-scale percentages, two counts, a noisy
 learnable target). The SQL text is shared verbatim with the DuckDB oracle.
 """

@@ -13,23 +13,35 @@ def test_balanced_and_custom_weights():
     assert w["a"] * 90 == pytest.approx(w["b"] * 10)
     c = E.class_weights({"a": 1, "b": 1, "c": 1}, "custom", {"a": 2, "b": 5})
     assert c == {"a": 2.0, "b": 5.0, "c": 1.0}
+    assert E.class_weights({"a": 90, "b": 10}, "custom", {}) == w
     assert set(E.class_weights({"a": 3, "b": 1}, "none").values()) == {1.0}
 
 
-def test_split_is_stable_and_near_share(spark):
-    df = spark.range(20000).withColumn("s", E.split_column(F.col("id"), 0.25))
-    share = df.where("s = 'test'").count() / 20000
-    assert abs(share - 0.25) < 0.02
-    again = spark.range(20000).withColumn("s", E.split_column(F.col("id"), 0.25))
-    assert df.exceptAll(again).count() == 0
+def _rare(spark):
+    return spark.range(4000).select("id", F.when(F.col("id") % 500 == 3, "rare").when(F.col("id") % 3 == 0, "b").otherwise("a").alias("y"))
 
 
-def test_folds_cover_all_rows(spark):
+def test_split_is_stable_with_exact_quotas(spark):
+    df = _rare(spark)
+    counts = {r.y: r["count"] for r in df.groupBy("y").count().collect()}
+    out = df.withColumn("s", E.split_column(df, "id", "y", counts, 0.25))
+    got = {r.y: r["count"] for r in out.where("s = 'test'").groupBy("y").count().collect()}
+    assert counts["rare"] == 8 and got == {c: int(n * 0.25 + 0.5) for c, n in counts.items()}
+    again = df.repartition(7).withColumn("s", E.split_column(df, "id", "y", counts, 0.25))
+    assert out.exceptAll(again).count() == 0
+
+
+def test_folds_hold_every_class_evenly(spark):
     k = E.fold_count(5, 3)
     assert k == 3 and E.fold_count(1, 100) == 2 and E.fold_count(50, 100) == 10
-    counts = {r["f"]: r["n"] for r in spark.range(9000).select(E.fold_column(F.col("id"), k).alias("f"))
-              .groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert sorted(counts) == [0, 1, 2] and min(counts.values()) > 2700
+    df = _rare(spark)
+    counts = {r.y: r["count"] for r in df.groupBy("y").count().collect()}
+    got = {}
+    for r in df.select("y", E.fold_column(df, "id", "y", counts, k).alias("f")).groupBy("y", "f").count().collect():
+        got.setdefault(r.y, {})[r.f] = r["count"]
+    assert all(sorted(f) == [0, 1, 2] and max(f.values()) - min(f.values()) <= 1 for f in got.values())
+    tiny = spark.createDataFrame([(1, "a"), (2, "a")], "id long, y string")
+    assert {r.f for r in tiny.select(E.fold_column(tiny, "id", "y", {"a": 2}, 3).alias("f")).collect()} <= {0, 1, 2}
 
 
 def test_align_and_soft_vote(spark):

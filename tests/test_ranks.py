@@ -7,7 +7,7 @@ from classcraft.operators import ranks
 
 
 def test_quantiles_match_numpy_on_awkward_columns(spark, monkeypatch):
-    monkeypatch.setattr(ranks, "BINS", 8)
+    monkeypatch.setattr(ranks, "BINS", 64)
     rng = np.random.default_rng(1)
     data = {"normal": rng.normal(size=500), "tiny": rng.random(500) * 1e-300, "clustered": np.exp(rng.normal(size=500) * 40),
             "ties": rng.integers(0, 3, 500).astype(float), "one": np.full(500, 7.5), "wide": np.concatenate([[-1e308, 1e308], rng.normal(size=498)])}
