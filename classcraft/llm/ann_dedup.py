@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ OVERLAP, DEGREE, CANDIDATES, SPREAD, ALPHA = 2, 24, 48, 8, 1.2
 BEAM, MEDOIDS, QUERIES_AT_ONCE = 24, 12, 256
 SALTS = 16
 AUDIT, MIN_RECALL, TRIES = 256, 0.9, 3
-NODE = "shard string, node long, copies long, vector array<double>, trail array<string>"
+NODE = "shard string, node long, copies long, vector array<double>"
 
 
 # ---------------------------------------------------------------- nodes
@@ -110,17 +111,15 @@ def _assign(overlap: int):
                 near = np.sort(np.argsort(-(x @ center.T), axis=1, kind="stable")[:, :take], axis=1)
                 row = np.repeat(np.arange(len(x)), take)
                 names = [f"{name}\x1e{c}" for c in near.ravel().tolist()]
-                old = part.column(5).to_pylist()
-                trail = [old[i] + [f"{name}\x1e{c}" for c in near[i].tolist()] for i in row.tolist()]
                 rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(names), part.column(2).take(rows), part.column(3).take(rows), part.column(4).take(rows),
-                                                  pa.array(trail, pa.list_(pa.string()))], names=["shard", "node", "copies", "vector", "trail"])
+                yield pa.RecordBatch.from_arrays([pa.array(names), part.column(2).take(rows), part.column(3).take(rows), part.column(4).take(rows)],
+                                                 names=["shard", "node", "copies", "vector"])
     return run
 
 
 def shards_of(nodes: DataFrame, overlap: int) -> DataFrame:
-    """NODE rows with shards of at most MAX_SHARD nodes where splitting can reach that; ``trail`` has all shards a node passed."""
-    rows = written(nodes.withColumn("trail", F.array(F.col("shard"))).select("shard", "node", "copies", "vector", "trail"), "ann-shards")
+    """NODE rows with shards of at most MAX_SHARD nodes where splitting can reach that."""
+    rows = nodes.select("shard", "node", "copies", "vector")
     for _ in range(MAX_DEPTH):
         sizes = written(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > MAX_SHARD), "ann-large")
         if sizes.isEmpty():
@@ -130,12 +129,11 @@ def shards_of(nodes: DataFrame, overlap: int) -> DataFrame:
         centers = large.where(share).select("shard", "node", "vector", "size").groupBy("shard").applyInArrow(_fit_clusters, "shard string, centers array<double>")
         none = F.lit(None)
         ahead = centers.select("shard", F.lit(0).alias("kind"), none.cast("long").alias("node"), none.cast("long").alias("copies"),
-                               F.col("centers").alias("vector"), F.array().cast("array<string>").alias("trail"),
-                               F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        behind = large.select("shard", F.lit(1).alias("kind"), "node", "copies", "vector", "trail",
+                               F.col("centers").alias("vector"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        behind = large.select("shard", F.lit(1).alias("kind"), "node", "copies", "vector",
                               F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
         split = (ahead.unionByName(behind).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-                 .select("shard", "kind", "node", "copies", "vector", "trail").mapInArrow(_assign(overlap), NODE))
+                 .select("shard", "kind", "node", "copies", "vector").mapInArrow(_assign(overlap), NODE))
         rows = written(rows.join(sizes.select("shard"), "shard", "left_anti").unionByName(split), "ann-shards")
     return rows
 
@@ -261,12 +259,12 @@ def range_search(x: np.ndarray, starts: np.ndarray, flat: np.ndarray, queries: n
     return np.concatenate(found_q), np.concatenate(found_n)
 
 
-def _first_shared(trails: list[list[str]], a: np.ndarray, b: np.ndarray, here: str) -> np.ndarray:
+def _first_shared(finals: list[list[str]], a: np.ndarray, b: np.ndarray, here: str) -> np.ndarray:
     """Whether ``here`` is the least final shard that both nodes of a pair are in."""
-    names = {name: i for i, name in enumerate(sorted({n for t in trails for n in t}))}
-    width = max(map(len, trails))
-    table = np.full((len(trails), width), -1, np.int64)
-    for i, t in enumerate(trails):
+    names = {name: i for i, name in enumerate(sorted({n for t in finals for n in t}))}
+    width = max(map(len, finals))
+    table = np.full((len(finals), width), -1, np.int64)
+    for i, t in enumerate(finals):
         table[i, :len(t)] = [names[n] for n in t]
     least = np.full(len(a), 1 << 40, np.int64)
     for c in range(width):
@@ -352,7 +350,7 @@ def _links(rows: DataFrame, threshold: float, beam: int) -> DataFrame:
     """EDGES rows of all links the index finds."""
     finals = rows.groupBy("node").agg(F.sort_array(F.collect_set("shard")).alias("finals"))  # at most OVERLAP ** depth names
     sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
-    placed = rows.drop("trail").join(finals, "node").join(sizes, "shard")
+    placed = rows.join(finals, "node").join(sizes, "shard")
     small, clump = placed.where(F.col("size") <= MAX_SHARD), placed.where(F.col("size") > MAX_SHARD)
     graph = small.select("shard", "node", "vector").groupBy("shard").applyInArrow(_adjacency, "node long, near array<long>")
     united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
@@ -382,14 +380,12 @@ def audited(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             for space in set(batch.column(0).to_pylist()) & set(shared.value):
-                part = table.filter(pa.compute.equal(table.column("shard"), space))
+                part = table.filter(pc.equal(table.column("shard"), space))
                 ids, x = shared.value[space]
                 node, copies = part.column("node").to_numpy(), part.column("copies").to_numpy()
                 hit = (x @ _matrix(part.column("vector")).T >= threshold) & (ids[:, None] != node[None, :])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((hit * copies).sum(axis=1).astype(np.int64))], names=["node", "links"])
 
-    import pyarrow.compute  # noqa: F401
-
     true = nodes.select("shard", "node", "copies", "vector").mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("true"))
     row = true.join(counts, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.coalesce("links", F.lit(0))).alias("f")).first()
     return 1.0 if not row.t else row.f / row.t

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -350,7 +351,7 @@ def _score_by_shards(docs: DataFrame, model: DataFrame, shards: int, total: int,
         parts = np.split(flat, np.cumsum(np.array(block.column("sizes")[0].as_py()))[:-1])
         known = {}
         for order in (0, 1, 2):
-            rows = answers.filter(pa.compute.equal(answers.column("order"), order))
+            rows = answers.filter(pc.equal(answers.column("order"), order))
             grams = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("grams")] or [np.empty(0, np.uint64)])
             levels = np.concatenate([np.frombuffer(x.as_buffer(), np.int16) for x in rows.column("levels")] or [np.empty(0, np.int16)]).astype(np.int64)
             counts = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("counts")] or [np.empty(0, np.int64)])
@@ -361,8 +362,6 @@ def _score_by_shards(docs: DataFrame, model: DataFrame, shards: int, total: int,
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         return pa.Table.from_batches([_batch(ids.flatten(), found)])
 
-    import pyarrow.compute  # noqa: F401  (makes pa.compute known to the workers)
-
     table = written(docs.select("doc_id", "text").mapInArrow(blocks, f"block long, ids array<{kind}>, sizes array<long>, tokens binary"), "lm-blocks")
     asked = table.select("block", "sizes", "tokens").mapInArrow(ask, "shard int, block long, order int, grams binary")
     answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(
