@@ -380,3 +380,18 @@ def d8_drift_all_null_column(spark, sf):
     r = records(spark, sf)
     base = D.numeric_baseline(r, ["score", "projects", "rating"])
     return D.drift_report(r.withColumn("score", F.lit(None).cast("double")).drop("rating"), base, None)
+
+
+# ── curves over a narrow range of scores ────────────────────────────────────
+NARROW = f"({FORMULA_SCORE_SQL}) / 2000.0 + 0.5"
+
+
+@register("m6_narrow_scores", records_cte() + (
+    "SELECT round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) AS roc_auc, "
+    "count(DISTINCT p) AS n_scores FROM (SELECT y, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM "
+    f"(SELECT CASE WHEN outcome = 'approved' THEN 1 ELSE 0 END AS y, {NARROW} AS p FROM records))"))
+def m6_narrow_scores(spark, sf):
+    """M6 where all scores lie within 0.0005 of each other: the curve's ranges still hold a bounded share each."""
+    r = records(spark, sf).select((F.col("outcome") == "approved").cast("int").alias("y"), F.expr(NARROW).alias("p"))
+    curve = M.score_curve(r)
+    return M.auc_from_curve(curve).select(F.round("roc_auc", 6).alias("roc_auc"), F.lit(curve.count()).cast("bigint").alias("n_scores"))
