@@ -113,17 +113,16 @@ def positive_class(levels: DataFrame) -> DataFrame:
     is_pos = tok.isin(*POSITIVE_TOKENS).cast("int")
     is_neg = tok.isin(*NEGATIVE_TOKENS).cast("int")
     numeric = F.when(F.trim(F.col("value")).rlike(NUMBER_PATTERN), F.trim(F.col("value")).try_cast("double"))
-    order = F.struct(F.col("n"), -F.col("_r"))
-    ranked = levels.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("value"))))
-    agg = ranked.agg(
+    first = F.struct(-F.col("n"), F.col("value"))  # most frequent, then least
+    agg = levels.agg(
         F.sum(is_pos).alias("n_pos"),
         F.sum(is_neg).alias("n_neg"),
         F.count(F.lit(1)).alias("n_levels"),
-        F.max_by("value", F.when(is_pos == 1, order)).alias("pos"),
-        F.max_by("value", F.when(is_neg == 0, order)).alias("not_neg"),
+        F.min_by("value", F.when(is_pos == 1, first)).alias("pos"),
+        F.min_by("value", F.when(is_neg == 0, first)).alias("not_neg"),
         F.count(numeric).alias("n_numeric"),
-        F.max_by("value", F.struct(numeric, -F.col("_r"))).alias("num_max"),
-        F.max_by("value", order).alias("mode"),
+        F.min_by("value", F.struct(-numeric, first)).alias("num_max"),
+        F.min_by("value", first).alias("mode"),
     )
     choice = (
         F.when(F.col("n_pos") == 1, F.col("pos"))
@@ -137,14 +136,9 @@ def positive_class(levels: DataFrame) -> DataFrame:
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     """Per class count, share (%, 2 dp) and the imbalance gap in points."""
     counts = class_counts(df, target)
-    whole = Window.partitionBy()  # one row per class: tiny
-    total = F.sum("n").over(whole)
-    gap = F.when(F.count(F.lit(1)).over(whole) > 1, (F.max("n").over(whole) - F.min("n").over(whole)) / total * 100.0).otherwise(F.lit(0.0))
-    return counts.select(
-        "value", "n",
-        F.bround(F.col("n") / total * 100.0, 2).alias("share"),
-        gap.alias("imbalance"),
-    )
+    total, low, high, k = counts.agg(F.sum("n"), F.min("n"), F.max("n"), F.count(F.lit(1))).first()
+    gap = (high - low) / total * 100.0 if k > 1 else 0.0
+    return counts.select("value", "n", F.bround(F.col("n") / F.lit(total) * 100.0, 2).alias("share"), F.lit(gap).alias("imbalance"))
 
 
 def target_guard(df: DataFrame, target: str) -> DataFrame:
