@@ -99,12 +99,12 @@ def _assign(overlap: int):
             for s, e in zip(edges, edges[1:]):
                 if shards[s] != name:
                     name, centers = shards[s], None
-                while s < e and kinds[s] == 0:
-                    centers = np.array(batch.column(4)[s].as_py())
-                    s += 1
-                if s == e:
+                ahead = np.flatnonzero(kinds[s:e] == 0)  # each salted part of a shard brings the same centroids
+                if len(ahead):
+                    centers = np.array(batch.column(4)[s + int(ahead[0])].as_py())
+                if len(ahead) == e - s:
                     continue
-                part = batch.slice(s, e - s)
+                part = batch.slice(s, e - s).filter(pa.array(kinds[s:e] == 1))
                 x = _matrix(part.column(4))
                 center = centers.reshape(-1, x.shape[1])
                 take = min(overlap, len(center))

@@ -87,3 +87,18 @@ def test_edge_cases(spark):
     doubled = spark.createDataFrame([(1, 1, [1.0, 2.0])] * 3 + [(None, 1, [1.0, 2.0])], "vec_id long, label int, embedding array<double>")
     out = ann_dedup.near_duplicates(doubled).collect()
     assert len(out) == 4 and all(r.n_links == 3 and r.component_id == 1 for r in out)
+
+
+def test_salted_parts_of_a_shard_in_one_partition(spark, monkeypatch):
+    monkeypatch.setattr(ann_dedup, "MAX_SHARD", 100)
+    rng = np.random.default_rng(6)
+    rows = [(i, 1, rng.normal(size=8).tolist()) for i in range(600)]
+    rows += [(1000 + i, 1, (np.array(rows[i][2]) + 0.01).tolist()) for i in range(100)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+        want, got = brute(rows), collected(ann_dedup.near_duplicates(df))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(n for n, _ in got.values()) >= 0.9 * sum(n for n, _ in want.values()) > 0
