@@ -40,8 +40,8 @@ from classcraft.llm.common import written
 
 SHARD_TEXT = 16 << 20
 MIN_SHARDS = 12
-TASK_TOKENS = 1 << 21           # training tokens a task holds before it sends their sums
-BLOCK_TOKENS = 1 << 19          # tokens scored at once
+TASK_TOKENS = 1 << 20           # training tokens a task holds before it sends their sums
+BLOCK_TOKENS = 1 << 17          # tokens scored at once
 MAX_BROADCAST = 256 << 20
 BASE = math.sqrt(2.0)
 HASHES = 7
@@ -149,12 +149,11 @@ def build_segment(grams_by_order: dict[int, tuple[np.ndarray, np.ndarray]]) -> n
 class Filter:
     """Segments of a log-frequency Bloom filter, in the order of their shards."""
 
-    def __init__(self, segments: dict[int, bytes], shards: int):
-        self.shards = shards
-        parts = [np.frombuffer(segments.get(s, b""), np.uint8) for s in range(shards)]
-        self.sizes = np.array([len(p) * 8 for p in parts], np.uint64)
-        self.starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.uint64)
-        self.bits = np.concatenate(parts) if parts else np.empty(0, np.uint8)
+    def __init__(self, bits: np.ndarray, lengths: np.ndarray):
+        """``bits``: the bytes of all shards' segments, ``lengths``: how many are each shard's (0: it has none)."""
+        self.shards, self.bits = len(lengths), bits
+        self.sizes = lengths.astype(np.uint64) * np.uint64(8)
+        self.starts = (np.cumsum(lengths) - lengths).astype(np.uint64)
 
     def levels(self, grams: np.ndarray, order: int) -> np.ndarray:
         out = np.zeros(len(grams), np.int64)
@@ -280,19 +279,32 @@ def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarr
     if not len(keys):
         return np.zeros(len(wanted), np.int64)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0)
+    return np.where(keys[at] == wanted, values[at], 0).astype(np.int64)
+
+
+def _whole_model(model: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, counts, bits, length of each shard's bits) on the driver: shards arrive one partition at a time and are put in place."""
+    sizes = np.zeros((shards, 2), np.int64)
+    for r in model.select("shard", "n_words", F.octet_length("segment").alias("size")).collect():
+        sizes[r.shard] = r.n_words, r.size
+    word_at, byte_at = (np.cumsum(sizes, axis=0) - sizes).T
+    total_words, total_bytes = sizes.sum(axis=0)
+    words, counts, bits = np.empty(total_words, np.uint64), np.empty(total_words, np.int64), np.empty(total_bytes, np.uint8)
+    for r in model.select("shard", "words", "counts", "segment").toLocalIterator():
+        w, b = word_at[r.shard], byte_at[r.shard]
+        words[w:w + sizes[r.shard, 0]] = np.frombuffer(r.words, np.uint64)
+        counts[w:w + sizes[r.shard, 0]] = np.frombuffer(r.counts, np.int64)
+        bits[b:b + sizes[r.shard, 1]] = np.frombuffer(r.segment, np.uint8)
+    return words, counts if counts.max(initial=0) >> 32 else counts.astype(np.uint32), bits, sizes[:, 1].copy()
 
 
 def _score_by_broadcast(docs: DataFrame, model: DataFrame, shards: int, total: int, types: int) -> DataFrame:
-    rows = model.select("shard", "words", "counts", "segment").orderBy("shard").collect()
-    shared = docs.sparkSession.sparkContext.broadcast((
-        b"".join(r.words for r in rows), b"".join(r.counts for r in rows), {r.shard: bytes(r.segment) for r in rows}))
-    del rows
+    shared = docs.sparkSession.sparkContext.broadcast(_whole_model(model, shards))
     block_tokens = BLOCK_TOKENS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, segments = shared.value
-        words, counts, bloom = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64), Filter(segments, shards)
+        words, counts, bits, lengths = shared.value
+        bloom = Filter(bits, lengths)
         for batch in batches:
             for first, held in _blocks(batch, block_tokens):
                 found = scored(held, lambda w: lookup(words, counts, w), bloom.levels, total, types)
@@ -332,12 +344,13 @@ def _score_by_shards(docs: DataFrame, model: DataFrame, shards: int, total: int,
             return pa.table({"block": pa.array([], pa.int64()), "order": pa.array([], pa.int32()), "grams": pa.array([], pa.binary()),
                              "counts": pa.array([], pa.binary()), "levels": pa.array([], pa.binary())})
         words = counts = np.empty(0, np.uint64)
-        segments = {}
+        bits, lengths = np.empty(0, np.uint8), np.zeros(shards, np.int64)
         if shard.num_rows:
             words = np.frombuffer(shard.column("words")[0].as_buffer(), np.uint64)
             counts = np.frombuffer(shard.column("counts")[0].as_buffer(), np.int64)
-            segments = {shard.column("shard")[0].as_py(): shard.column("segment")[0].as_py()}
-        bloom = Filter(segments, shards)
+            bits = np.frombuffer(shard.column("segment")[0].as_buffer(), np.uint8)
+            lengths[shard.column("shard")[0].as_py()] = len(bits)
+        bloom = Filter(bits, lengths)
         found_counts, found_levels = [], []
         for order, grams in zip(asked.column("order").to_pylist(), asked.column("grams")):
             grams = np.frombuffer(grams.as_buffer(), np.uint64)

@@ -72,7 +72,7 @@ def test_filter_forgets_nothing_and_errs_rarely():
     grams = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
     counts = rng.geometric(0.3, len(grams))
     segment = lm_score.build_segment({1: (grams, counts), 2: (grams[:5], counts[:5])})
-    bloom = lm_score.Filter({0: segment.tobytes()}, 1)
+    bloom = lm_score.Filter(segment, np.array([len(segment)]))
     level = lm_score.level_of(counts)
     found = bloom.levels(grams, 1)
     assert (found >= level).all() and (found > level).mean() < 0.02
