@@ -25,6 +25,7 @@ import numpy as np
 ITEM = np.dtype([("pos", "<i8"), ("lcp", "<i4")])
 FAR = np.int32(1 << 30)
 CHUNK = 1 << 18
+PAIR_BYTES = 1 << 19  # characters of pairs compared at once
 
 
 class Lanes:
@@ -147,7 +148,7 @@ def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) ->
     while len(alive) and limit > 0:
         grid = np.arange(step)
         still = []
-        for part in np.array_split(alive, max(1, len(alive) * step // (1 << 22))):
+        for part in np.array_split(alive, max(1, len(alive) * step // PAIR_BYTES)):
             x, y = a[part][:, None] + out[part][:, None] + grid, b[part][:, None] + out[part][:, None] + grid
             same = (text[np.minimum(x, n - 1)] == text[np.minimum(y, n - 1)]) & (x < n) & (y < n)
             run = np.where(same.all(axis=1), step, np.argmin(same, axis=1)).astype(np.int32)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ GOLAY_POLY, CODE_BITS, CHECK_BITS, RADIUS = 0b101011100011, 23, 11, 3
 BLOCKS = (0, 23)
 THIRD_BLOCK = 41
 HOT_HOMES = 4096
-PAIRS_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE = 1 << 19
+DEALT_AT_ONCE = 1024
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -84,8 +86,7 @@ def _syndrome(words: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=4)
 def _cosets(reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By syndrome: start, and the error patterns of weight up to ``reach`` with their excess over the radius."""
-    every = np.arange(1 << CODE_BITS, dtype=np.int64)
-    patterns = every[np.bitwise_count(every) <= reach]
+    patterns = np.array([sum(1 << b for b in bits) for weight in range(reach + 1) for bits in combinations(range(CODE_BITS), weight)], np.int64)
     syndromes = _syndrome(patterns)
     excess = np.maximum(np.bitwise_count(patterns).astype(np.int64) - RADIUS, 0)
     order = np.lexsort((patterns, excess, syndromes))
@@ -195,8 +196,8 @@ def links(distinct_fps: DataFrame, distance: int = 2) -> DataFrame:
     def deal(batches):
         for batch in batches:
             fps_all = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fps_all), 4096):
-                fps = fps_all[at:at + 4096]
+            for at in range(0, len(fps_all), DEALT_AT_ONCE):
+                fps = fps_all[at:at + DEALT_AT_ONCE]
                 rows, cells, is_home = _refined(*anchors(fps, distance), fps, distance, hot)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(fps[rows].view(np.int64)), pa.array(is_home)],
                                                  names=["cell", "fp", "home"])

@@ -36,10 +36,10 @@ from classcraft.llm.common import written
 from classcraft.llm.induced import falling_suffixes
 
 GRAM = 32
-SLICE = 1 << 20                # bytes hashed at once
-ROWS_AT_ONCE = 1 << 20         # segments merged at once in a scanning task
-SHARD_BYTES = 4 << 20
-MEMORY_ITEMS = 2 << 20         # suffix tuples that a shard's queue holds before it goes to disk
+SLICE = 1 << 19                # bytes hashed at once
+ROWS_AT_ONCE = 1 << 18         # segments merged at once in a scanning task
+SHARD_BYTES = 2 << 20
+MEMORY_ITEMS = 1 << 20         # suffix tuples that a shard's queue holds before it goes to disk
 HOT_SEGMENTS = 20_000
 LAST_ID = (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -275,10 +275,10 @@ def _cut_hot(hot: np.ndarray, length: int):
 def repeats_in_shard(doc, ver, lo, n, data: np.ndarray, offsets: np.ndarray, length: int, memory: int):
     """(doc, ver, first start, number of starts) of the strings that also start earlier, among a shard's segments."""
     sizes = np.diff(offsets)
-    inner = np.arange(offsets[-1] - offsets[0]) + np.repeat(np.arange(len(sizes)), sizes)
-    text = np.full(len(inner) + len(sizes), 255, np.uint8)  # 255 ends a segment: UTF-8 has no such byte
-    text[inner] = data[offsets[0]:offsets[-1]]
     begin = np.cumsum(sizes + 1) - (sizes + 1)
+    text = np.full(int(sizes.sum()) + len(sizes), 255, np.uint8)  # 255 ends a segment: UTF-8 has no such byte
+    for at, start, size in zip(begin.tolist(), offsets.tolist(), sizes.tolist()):
+        text[at:at + size] = data[start:start + size]
     order = np.lexsort((ver, doc))
     changed = np.concatenate([[False], (doc[order][1:] != doc[order][:-1]) | (ver[order][1:] != ver[order][:-1])])
     rank = np.empty(len(doc), np.int64)
