@@ -11,10 +11,13 @@ number of copies.
    a kept neighbour is `ALPHA` times nearer to it than the node is); back edges are added. The adjacency lists of a node are
    united over its shards.
 3. Search: every node is a query in its shards, greedily from the shard's medoids with a beam of `BEAM`; then the range is expanded:
-   neighbours of nodes in range are followed until none new is in range. A link is a cosine in double precision of at least
-   the threshold. A pair that meets in several shards counts in the first one they share, so a shard hands on one
-   count a node and a spanning forest, never pairs.
-4. Audit: `AUDIT` nodes (those of least hash) are compared to all rows by brute force. If the index has found less than
+   neighbours of nodes in range are followed until none new is in range. Where a node of the beam or in range is also in other
+   shards, its united list goes on there, so the query goes there too: in written rounds, until no query has a shard left to go to.
+4. Links: in every shard that a query has come to, it is compared with all nodes of the shard, so what has come together is
+   never missed. A link is a cosine in double precision of at least the threshold. A pair may meet in several shards; every one
+   of them knows where the two have been, and the least where they meet counts them. So a shard hands on one count a node and a
+   spanning forest, never pairs. Shards and visitors beyond `MAX_SHARD` are compared block by block.
+5. Audit: `AUDIT` nodes (those of least hash) are compared to all rows by brute force. If the index has found less than
    `MIN_RECALL` of their links, it is built again with more overlap and a wider beam, up to `TRIES` times.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components, and those with a null label, link with
@@ -199,12 +202,16 @@ def range_search(x: np.ndarray, starts: np.ndarray, flat: np.ndarray, queries: n
 
     The graph's neighbours of row i are flat[starts[i]:starts[i + 1]].
     """
-    q, m = len(queries), len(x)
-    entry = medoids(x, MEDOIDS)
+    return beam_search(x, x[queries], medoids(x, MEDOIDS), starts, flat, threshold, beam)[:2]
+
+
+def beam_search(x: np.ndarray, at: np.ndarray, entry: np.ndarray, starts: np.ndarray, flat: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, ...]:
+    """(query, row) of the pairs in range of the vectors ``at``, then rows and similarities of their beams (empty places: under -1.5)."""
+    q, m = len(at), len(x)
     seen = np.zeros((q, m), bool)
     seen[:, entry] = True
     ids = np.tile(entry, (q, 1))
-    sims = x[queries] @ x[entry].T
+    sims = at @ x[entry].T
     open_ = np.ones(ids.shape, bool)
 
     def neighbours(rows, nodes):
@@ -236,7 +243,7 @@ def range_search(x: np.ndarray, starts: np.ndarray, flat: np.ndarray, queries: n
         row, node = neighbours(active, ids[active, best[active]])
         if not len(row):
             continue
-        sim = np.einsum("ij,ij->i", x[queries[row]], x[node])
+        sim = np.einsum("ij,ij->i", at[row], x[node])
         keep(row, node, sim)
         counts = np.bincount(row, minlength=q)
         width = counts.max()
@@ -252,118 +259,177 @@ def range_search(x: np.ndarray, starts: np.ndarray, flat: np.ndarray, queries: n
     edge = (np.concatenate(found_q), np.concatenate(found_n))
     while len(edge[0]):  # expand the range
         row, node = neighbours(*edge)
-        sim = np.einsum("ij,ij->i", x[queries[row]], x[node]) if len(row) else np.empty(0)
+        sim = np.einsum("ij,ij->i", at[row], x[node]) if len(row) else np.empty(0)
         keep(row, node, sim)
         hit = sim >= threshold
         edge = row[hit], node[hit]
-    return np.concatenate(found_q), np.concatenate(found_n)
+    return np.concatenate(found_q), np.concatenate(found_n), ids, sims
+
 
+def _table_of(lists: list[list[int]]) -> np.ndarray:
+    """One row a list, filled up with its first entry."""
+    width = max(map(len, lists))
+    return np.array([row + row[:1] * (width - len(row)) for row in lists], np.int64)
 
-def _first_shared(finals: list[list[str]], a: np.ndarray, b: np.ndarray, here: str) -> np.ndarray:
-    """Whether ``here`` is the least final shard that both nodes of a pair are in."""
-    names = {name: i for i, name in enumerate(sorted({n for t in finals for n in t}))}
-    width = max(map(len, finals))
-    table = np.full((len(finals), width), -1, np.int64)
-    for i, t in enumerate(finals):
-        table[i, :len(t)] = [names[n] for n in t]
-    least = np.full(len(a), 1 << 40, np.int64)
-    for c in range(width):
-        value = table[a, c]
-        shared = ((table[b] == value[:, None]) & (value >= 0)[:, None]).any(axis=1)
-        least = np.where(shared, np.minimum(least, value), least)
-    return least == names[here]
 
+def _parts(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The queries and the nodes of a group, each by node."""
+    kind = table.column("kind")
+    return tuple(table.filter(pc.equal(kind, k)).sort_by("node") for k in (0, 1))
 
-EDGES = "node long, links long, a long, b long"
 
+def _groups(members: DataFrame, queries: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over the queries and the nodes of every shard (``code``), dealt to blocks of about MAX_SHARD of either."""
+    ceil = lambda c: F.ceil(F.col(c) / F.lit(MAX_SHARD)).cast("long")
+    sizes = members.groupBy("code").agg(F.count(F.lit(1)).alias("m")).join(queries.groupBy("code").agg(F.count(F.lit(1)).alias("q")), "code").select(
+        "code", ceil("m").alias("blocks"), ceil("q").alias("lots"))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    mine = members.join(sizes, "code").withColumn("kind", F.lit(1)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("lot", each("lots"))
+    theirs = queries.join(sizes, "code").withColumn("kind", F.lit(0)).withColumn("lot", F.pmod(F.xxhash64("node", F.lit(3)), F.col("lots"))).withColumn("block", each("blocks"))
+    return mine.unionByName(theirs, allowMissingColumns=True).drop("blocks", "lots").groupBy("code", "block", "lot").applyInArrow(run, schema)
 
-def _edge_table(ids, copies, a, b) -> pa.Table:
-    """One count a node and star edges, of the pairs (a, b) of rows (both directions present)."""
-    links = np.bincount(a, weights=copies[b], minlength=len(ids)).astype(np.int64)
-    has = np.flatnonzero(links)
-    x, y = forest(ids[a], ids[b]) if len(a) else (np.empty(0, np.int64),) * 2
-    none = lambda n: pa.array([None] * n, pa.int64())
-    return pa.concat_tables([
-        pa.table({"node": pa.array(ids[has]), "links": pa.array(links[has]), "a": none(len(has)), "b": none(len(has))}),
-        pa.table({"node": none(len(x)), "links": none(len(x)), "a": pa.array(x), "b": pa.array(y)})])
+
+LEADS = "node long, cut float, leads array<struct<shard: bigint, sim: float>>"
 
 
 def _search(threshold: float, beam: int):
+    """For every query of a group: the least similarity of its beam, and the other shards of what it found, each with the best similarity."""
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("node").to_numpy()
-        order = np.argsort(ids)
-        ids, x = ids[order], _matrix(table.column("vector"))[order]
-        copies = table.column("copies").to_numpy()[order].astype(np.float64)
-        finals = [table.column("finals")[int(i)].as_py() for i in order]
-        near = [table.column("near")[int(i)].as_py() or [] for i in order]
+        queries, nodes = _parts(table)
+        if not len(queries) or not len(nodes):  # a block that got no hash
+            return pa.table({"node": pa.array([], pa.int64()), "cut": pa.array([], pa.float32()), "leads": pa.array([], LEAD_LIST)})
+        here, ids, x = table.column("code")[0].as_py(), nodes.column("node").to_numpy(), _matrix(nodes.column("vector"))
+        homes = _table_of(nodes.column("homes").to_pylist())
+        near = [row or [] for row in nodes.column("near").to_pylist()]
         flat = np.array([n for row in near for n in row], np.int64)
         source = np.repeat(np.arange(len(ids)), [len(row) for row in near])
         at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
-        inside = ids[at] == flat  # neighbours of other shards stay there
+        inside = ids[at] == flat  # the others are followed in their own shards, where the query goes next
         flat, source = at[inside], source[inside]
         starts = np.searchsorted(source, np.arange(len(ids) + 1))
-        a, b = [], []
-        for s in range(0, len(ids), QUERIES_AT_ONCE):
-            queries = np.arange(s, min(s + QUERIES_AT_ONCE, len(ids)))
-            row, node = range_search(x, starts, flat, queries, threshold, beam)
-            a.append(queries[row])
-            b.append(node)
-        a, b = np.concatenate(a), np.concatenate(b)
-        other = a != b
-        pairs = np.unique(np.concatenate([a[other] * len(ids) + b[other], b[other] * len(ids) + a[other]]))  # found from either side
-        a, b = pairs // len(ids), pairs % len(ids)
-        exact = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
-        a, b = a[exact], b[exact]
-        if len(a):
-            mine = _first_shared(finals, a, b, table.column("shard")[0].as_py())
-            a, b = a[mine], b[mine]
-        return _edge_table(ids, copies, a, b)
+        entry, own, y = medoids(x, MEDOIDS), queries.column("node").to_numpy(), _matrix(queries.column("vector"))
+        cuts, leads = [], []
+        for s in range(0, len(own), QUERIES_AT_ONCE):
+            q, n, beams, sims = beam_search(x, y[s:s + QUERIES_AT_ONCE], entry, starts, flat, threshold, beam)
+            me = own[s:s + QUERIES_AT_ONCE]
+            used = (sims > -1.5) & (ids[beams] != me[:, None])
+            cuts.append(np.where(used.sum(axis=1) >= beam - 1, np.where(used, sims, 2).min(axis=1), -2))
+            r, c = np.nonzero(used)
+            row, node = np.concatenate([r, q]), np.concatenate([beams[r, c], n])
+            sim = np.concatenate([sims[r, c], np.einsum("ij,ij->i", y[s + q], x[n])])
+            row, sim, to = np.repeat(row, homes.shape[1]), np.repeat(sim, homes.shape[1]), homes[node].ravel()
+            other = to != here
+            row, sim, to = row[other], sim[other], to[other]
+            order = np.lexsort((-sim, to, row))
+            row, sim, to = row[order], sim[order], to[order]
+            first = np.ones(len(row), bool)
+            first[1:] = (row[1:] != row[:-1]) | (to[1:] != to[:-1])
+            row, sim, to = row[first], sim[first], to[first]
+            ends = np.searchsorted(row, np.arange(len(me) + 1))
+            leads += [[{"shard": a, "sim": b} for a, b in zip(to[i:j].tolist(), sim[i:j].tolist())] for i, j in zip(ends[:-1], ends[1:])]
+        return pa.table({"node": own, "cut": pa.array(np.concatenate(cuts).astype(np.float32)), "leads": pa.array(leads, LEAD_LIST)})
     return run
 
 
-def _compare_blocks(threshold: float):
-    """Exact comparison of two blocks of a shard that splitting left too large (or of one with itself)."""
+LEAD_LIST = pa.list_(pa.struct([("shard", pa.int64()), ("sim", pa.float32())]))
+
+
+def visits_of(members: DataFrame, threshold: float, beam: int) -> DataFrame:
+    """(node, visits): the shards that the search over the united graph comes to from every node of ``members`` (code, node, vector, homes).
+
+    A round follows the lists of what was found so far into shards that the query has not been in: those of nodes in range, and those of
+    nodes at least as near as the whole beam it has in some shard.
+    """
+    sizes = members.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / F.lit(MAX_SHARD)).cast("long").alias("blocks"))
+    dealt = members.join(sizes, "code").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    graph = dealt.select("code", "block", "node", "vector").groupBy("code", "block").applyInArrow(_adjacency, "node long, near array<long>")
+    united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    placed = written(members.select("code", "node", "vector", "homes").join(united, "node"), "ann-graph")
+    vectors = members.select("node", "vector", "homes").dropDuplicates(["node"])
+    state = vectors.select("node", F.lit(-2.0).cast("float").alias("cut"), F.col("homes").alias("visits"), F.col("homes").alias("to"),
+                           F.array().cast("array<struct<shard: bigint, sim: float>>").alias("leads"))
+    queries = members.select("code", "node", "vector")
+    while True:
+        found = _groups(placed, queries, _search(threshold, beam), LEADS).groupBy("node").agg(
+            F.max("cut").alias("new_cut"), F.flatten(F.collect_list("leads")).alias("new"))
+        state = state.drop("to").join(found, "node", "left").withColumn("cut", F.greatest("cut", "new_cut")).withColumn(
+            "leads", F.concat("leads", F.coalesce("new", F.array().cast("array<struct<shard: bigint, sim: float>>"))))
+        on = lambda x: (x["sim"] >= F.least(F.col("cut"), F.lit(threshold))) & ~F.array_contains("visits", x["shard"])
+        state = state.withColumn("leads", F.filter("leads", on)).withColumn("to", F.array_distinct(F.transform("leads", lambda x: x["shard"])))
+        state = written(state.select("node", "cut", F.concat("visits", "to").alias("visits"), "to", "leads"), "ann-search")
+        ahead = state.where(F.size("to") > 0)
+        if ahead.isEmpty():
+            return state.select("node", "visits")
+        queries = ahead.select("node", F.explode("to").alias("code")).join(vectors.select("node", "vector"), "node")
+
+
+# ---------------------------------------------------------------- 4. links
+
+EDGES = "node long, links long, partners long, a long, b long"
+
+
+def _pairs(queries: np.ndarray, x: np.ndarray, y: np.ndarray, ids: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) rows of all pairs in range but of a node with itself, some queries at a time."""
+    for s in range(0, len(queries), QUERIES_AT_ONCE):
+        q, n = np.nonzero((y[s:s + QUERIES_AT_ONCE] @ x.T >= threshold - 1e-9) & (queries[s:s + QUERIES_AT_ONCE, None] != ids))
+        q += s
+        for t in range(0, len(q), 1 << 17):
+            a, b = q[t:t + (1 << 17)], n[t:t + (1 << 17)]
+            exact = np.einsum("ij,ij->i", y[a], x[b]) >= threshold
+            yield a[exact], b[exact]
+
+
+def _least_met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row the least of the shards ``a`` that is among ``b``."""
+    least = np.full(len(a), np.iinfo(np.int64).max)
+    for c in range(a.shape[1]):
+        least = np.where((b == a[:, c, None]).any(axis=1), np.minimum(least, a[:, c]), least)
+    return least
+
+
+def _compare(threshold: float):
+    """One count a node and star edges of the links between the queries and the nodes of a group that are counted in its shard."""
     def run(table: pa.Table) -> pa.Table:
-        ids, x = table.column("node").to_numpy(), _matrix(table.column("vector"))
-        order = np.argsort(ids)
-        ids, x, copies = ids[order], x[order], table.column("copies").to_numpy()[order].astype(np.float64)
-        block = table.column("block").to_numpy()[order]
-        finals = [table.column("finals")[int(i)].as_py() for i in order]
-        a, b = [], []
-        for s in range(0, len(ids), 512):
-            hit = x[s:s + 512] @ x.T >= threshold
-            p, r = np.nonzero(hit)
-            a.append(p + s)
-            b.append(r)
-        a, b = np.concatenate(a), np.concatenate(b)
-        low, high = block.min(), block.max()
-        use = (a != b) & ((low == high) | (block[a] != block[b]))
-        a, b = a[use], b[use]
-        if len(a):
-            mine = _first_shared(finals, a, b, table.column("shard")[0].as_py())
-            a, b = a[mine], b[mine]
-        return _edge_table(ids, copies, a, b)
+        queries, nodes = _parts(table)
+        none = lambda n: pa.array([None] * n, pa.int64())
+        if not len(queries) or not len(nodes):  # a block that got no hash
+            return pa.table({c: none(0) for c in ("node", "links", "partners", "a", "b")})
+        here = table.column("code")[0].as_py()
+        (qi, qc, qh, qv), (ni, nc, nh, nv) = (
+            (t.column("node").to_numpy(), t.column("copies").to_numpy(), _table_of(t.column("homes").to_pylist()), _table_of(t.column("visits").to_pylist()))
+            for t in (queries, nodes))
+        visitor = ~(qh == here).any(axis=1)  # the others are nodes of the shard: their pairs come from either side
+        qlinks, qpartners, nlinks, npartners = (np.zeros(n, np.int64) for n in (len(qi), len(qi), len(ni), len(ni)))
+        x = y = np.empty(0, np.int64)
+        for q, n in _pairs(qi, _matrix(nodes.column("vector")), _matrix(queries.column("vector")), ni, threshold):
+            mine = np.minimum(_least_met(qv[q], nh[n]), _least_met(nv[n], qh[q])) == here
+            q, n = q[mine], n[mine]
+            np.add.at(qlinks, q, nc[n])
+            np.add.at(qpartners, q, 1)
+            x, y = forest(np.concatenate([x, qi[q]]), np.concatenate([y, ni[n]])) if len(q) else (x, y)
+            q, n = q[visitor[q]], n[visitor[q]]
+            np.add.at(nlinks, n, qc[q])
+            np.add.at(npartners, n, 1)
+        ids, links, partners = np.concatenate([qi, ni]), np.concatenate([qlinks, nlinks]), np.concatenate([qpartners, npartners])
+        has = np.flatnonzero(partners)
+        return pa.concat_tables([
+            pa.table({"node": pa.array(ids[has]), "links": pa.array(links[has]), "partners": pa.array(partners[has]), "a": none(len(has)), "b": none(len(has))}),
+            pa.table({"node": none(len(x)), "links": none(len(x)), "partners": none(len(x)), "a": pa.array(x), "b": pa.array(y)})])
     return run
 
 
 def _links(rows: DataFrame, threshold: float, beam: int) -> DataFrame:
     """EDGES rows of all links the index finds."""
-    finals = rows.groupBy("node").agg(F.sort_array(F.collect_set("shard")).alias("finals"))  # at most OVERLAP ** depth names
-    sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
-    placed = rows.join(finals, "node").join(sizes, "shard")
-    small, clump = placed.where(F.col("size") <= MAX_SHARD), placed.where(F.col("size") > MAX_SHARD)
-    graph = small.select("shard", "node", "vector").groupBy("shard").applyInArrow(_adjacency, "node long, near array<long>")
-    united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    found = small.join(united, "node").select("shard", "node", "copies", "vector", "finals", "near").groupBy("shard").applyInArrow(
-        _search(threshold, beam), EDGES)
-    blocks = F.ceil(F.col("size") / F.lit(MAX_SHARD // 2))
-    dealt = clump.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "shard", "node", "copies", "vector", "finals", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return found.unionByName(dealt.groupBy("shard", "low", "high").applyInArrow(_compare_blocks(threshold), EDGES))
+    rows = rows.withColumn("code", F.xxhash64("shard"))
+    homes = rows.groupBy("node").agg(F.sort_array(F.collect_set("code")).alias("homes"))  # at most OVERLAP ** depth
+    members = written(rows.join(homes, "node").select("code", "node", "copies", "vector", "homes", F.col("shard").contains("\x1e").alias("split")), "ann-members")
+    visits = visits_of(members.where("split"), threshold, beam)  # where a space is one shard, there is nowhere to go
+    full = members.drop("split").join(visits, "node", "left").withColumn("visits", F.coalesce("visits", "homes"))
+    queries = full.dropDuplicates(["node"]).withColumn("code", F.explode("visits"))
+    return _groups(full, queries, _compare(threshold), EDGES)
 
 
-# ---------------------------------------------------------------- 4. audit
+# ---------------------------------------------------------------- 5. audit
 
 def audited(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
     """Share of the links of AUDIT nodes (least hash first) that ``counts`` (node, links) has, by brute force over all nodes."""

@@ -102,3 +102,23 @@ def test_salted_parts_of_a_shard_in_one_partition(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sum(n for n, _ in got.values()) >= 0.9 * sum(n for n, _ in want.values()) > 0
+
+
+def test_pairs_across_shards(spark, monkeypatch):
+    """Pairs whose nearest clusters do not meet are found over the united graph, and each counts once."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(900, 12))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.normal(size=(400, 12))
+    off -= (off * base[:400]).sum(axis=1, keepdims=True) * base[:400]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    x = np.concatenate([base, 0.901 * base[:400] + np.sqrt(1 - 0.901 ** 2) * off])
+    top = np.argsort(-(x @ ann_dedup.kmeans(x, 87).T), axis=1)[:, :2].tolist()
+    assert sum(not set(top[i]) & set(top[900 + i]) for i in range(400)) >= 10
+    clusters = spark.createDataFrame([(i, c) for i, row in enumerate(top) for c in row], "first long, cluster long")
+    monkeypatch.setattr(ann_dedup, "shards_of", lambda nodes, overlap: nodes.join(clusters, "first").selectExpr(
+        "concat(shard, '\x1e', cluster) AS shard", "node", "copies", "vector"))
+    monkeypatch.setattr(ann_dedup, "TRIES", 1)
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>").repartition(3)
+    want, got = brute([(i, 1, v.tolist()) for i, v in enumerate(x)], 0.9), collected(ann_dedup.near_duplicates(df, 0.9))
+    assert got == want
