@@ -17,8 +17,11 @@ number of copies.
    never missed. A link is a cosine in double precision of at least the threshold. A pair may meet in several shards; every one
    of them knows where the two have been, and the least where they meet counts them. So a shard hands on one count a node and a
    spanning forest, never pairs. Shards and visitors beyond `MAX_SHARD` are compared block by block.
-5. Audit: `AUDIT` nodes (those of least hash) are compared to all rows by brute force. If the index has found less than
-   `MIN_RECALL` of their links, it is built again with more overlap and a wider beam, up to `TRIES` times.
+5. Audit: one node in `AUDIT_STEP`, but about `AUDIT` at least, chosen by hash, is compared with all nodes of its space in exact
+   blocks. Recall is the share of their linked nodes that the index links them to (copies do not weigh), and by node the mean of
+   that share over the nodes with a link, so that a dense clump does not hide lonely pairs. If either is under `MIN_RECALL` in some
+   space, the index is built again with more overlap and a wider beam, `TRIES` builds in all; spaces that fail then are compared
+   exactly, block by block. `audit_linked` is the number of audited nodes with a link; a warning says if it is under `ENOUGH`.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components, and those with a null label, link with
 nothing; null ids count as links but never name a component unless it has no other; repeated rows are copies, linked to each
@@ -27,6 +30,7 @@ other; an empty table gives an empty result; other columns of the input are not
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +47,7 @@ MAX_SHARD, TARGET, MAX_CLUSTERS, SAMPLE, MAX_DEPTH = 3000, 1000, 256, 8192, 4
 OVERLAP, DEGREE, CANDIDATES, SPREAD, ALPHA = 2, 24, 48, 8, 1.2
 BEAM, MEDOIDS, QUERIES_AT_ONCE = 24, 12, 256
 SALTS = 16
-AUDIT, MIN_RECALL, TRIES = 256, 0.9, 3
+AUDIT, AUDIT_STEP, ENOUGH, MIN_RECALL, TRIES = 256, 50, 30, 0.9, 3
 NODE = "shard string, node long, copies long, vector array<double>"
 
 
@@ -431,45 +435,59 @@ def _links(rows: DataFrame, threshold: float, beam: int) -> DataFrame:
 
 # ---------------------------------------------------------------- 5. audit
 
-def audited(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Share of the links of AUDIT nodes (least hash first) that ``counts`` (node, links) has, by brute force over all nodes."""
-    picked = nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(AUDIT).select("shard", "node", "vector").collect()
-    if not picked:
-        return 1.0
-    by_space: dict[str, list] = {}
-    for r in picked:
-        by_space.setdefault(r.shard, []).append((r.node, r.vector))
-    shared = nodes.sparkSession.sparkContext.broadcast(
-        {s: (np.array([n for n, _ in v], np.int64), np.array([x for _, x in v])) for s, v in by_space.items()})
+def _true_partners(threshold: float):
+    """How many nodes of a group each of its queries is linked to."""
+    def run(table: pa.Table) -> pa.Table:
+        queries, nodes = _parts(table)
+        own = queries.column("node").to_numpy()
+        true = np.zeros(len(own), np.int64)
+        if len(own) and len(nodes):  # a block may have got no hash
+            for q, _ in _pairs(own, _matrix(nodes.column("vector")), _matrix(queries.column("vector")), nodes.column("node").to_numpy(), threshold):
+                true += np.bincount(q, minlength=len(own))
+        return pa.table({"node": pa.array(own), "linked": pa.array(true)})
+    return run
+
+
+def truth_of(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(shard, node, linked) of the audited nodes with a link: how many nodes of the space they are linked to, by brute force."""
+    share = max(1 / AUDIT_STEP, AUDIT / max(nodes.count(), 1))
+    rows = nodes.select("shard", F.xxhash64("shard").alias("code"), "node", "vector")
+    picked = rows.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20))
+    true = _groups(rows.drop("shard"), picked.drop("shard"), _true_partners(threshold), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+    return written(picked.select("shard", "node").join(true.where("linked > 0"), "node"), "ann-truth")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for space in set(batch.column(0).to_pylist()) & set(shared.value):
-                part = table.filter(pc.equal(table.column("shard"), space))
-                ids, x = shared.value[space]
-                node, copies = part.column("node").to_numpy(), part.column("copies").to_numpy()
-                hit = (x @ _matrix(part.column("vector")).T >= threshold) & (ids[:, None] != node[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((hit * copies).sum(axis=1).astype(np.int64))], names=["node", "links"])
 
-    true = nodes.select("shard", "node", "copies", "vector").mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("true"))
-    row = true.join(counts, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.coalesce("links", F.lit(0))).alias("f")).first()
-    return 1.0 if not row.t else row.f / row.t
+def audited(truth: DataFrame, counts: DataFrame) -> tuple[float, float, int, DataFrame]:
+    """Recall by link and by node, number of audited nodes with a link, and the spaces (shard) that fall short."""
+    share = F.col("found") / F.col("linked")
+    rows = truth.join(counts, "node", "left").withColumn("found", F.coalesce("partners", F.lit(0)))
+    by_link, by_node = F.sum("found") / F.sum("linked"), F.avg(share)
+    short = rows.groupBy("shard").agg(by_link.alias("l"), by_node.alias("n")).where(F.least("l", "n") < MIN_RECALL).select("shard")
+    row = rows.agg(by_link.alias("l"), by_node.alias("n"), F.count(F.lit(1)).alias("nodes")).first()
+    return (row.l, row.n, row.nodes, written(short, "ann-short")) if row.nodes else (1.0, 1.0, 0, written(short, "ann-short"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
-    """(vec_id, n_links, component_id, kept, audit_recall) of every row of (vec_id, embedding, label)."""
+    """(vec_id, n_links, component_id, kept, audit_recall, audit_node_recall, audit_linked) of every row of (vec_id, embedding, label)."""
     rows = written(nodes_of(vectors), "ann-rows")
     nodes = written(rows.where("node IS NOT NULL").groupBy("shard", "node").agg(
         F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first"), F.first("vector").alias("vector")), "ann-nodes")
-    overlap, beam = OVERLAP, BEAM
-    for _ in range(TRIES):
-        edges = written(_links(shards_of(nodes, overlap), threshold, beam), "ann-links")
-        counts = edges.where("node IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
-        recall = audited(nodes, counts, threshold)
-        if recall >= MIN_RECALL:
+    truth = truth_of(nodes, threshold)
+    overlap, beam, exact = OVERLAP, BEAM, None
+    for attempt in range(TRIES + 1):
+        shards = shards_of(nodes, overlap) if exact is None else shards_of(nodes.join(exact, "shard", "left_anti"), overlap).unionByName(
+            nodes.join(exact, "shard", "left_semi").select("shard", "node", "copies", "vector"))  # one shard a space: exact blocks
+        edges = written(_links(shards, threshold, beam), "ann-links")
+        counts = edges.where("node IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"), F.sum("partners").alias("partners"))
+        recall, node_recall, linked, short = audited(truth, counts)
+        if exact is not None or short.isEmpty():
             break
-        overlap, beam = overlap + 2, beam * 2
+        if attempt == TRIES - 1:
+            exact = short
+        else:
+            overlap, beam = overlap + 2, beam * 2
+    if linked < ENOUGH:
+        warnings.warn(f"the recall audit saw {linked} nodes with a link, too few to tell the recall", stacklevel=2)
     roots = components(edges.where("a IS NOT NULL").select("a", "b"))
     placed = nodes.select("node", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -478,4 +496,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     out = rows.select("vec_id", "node").join(facts, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-                      F.col("vec_id").eqNullSafe(component).alias("kept"), F.lit(float(recall)).alias("audit_recall"))
+                      F.col("vec_id").eqNullSafe(component).alias("kept"), F.lit(float(recall)).alias("audit_recall"),
+                      F.lit(float(node_recall)).alias("audit_node_recall"), F.lit(linked).cast("long").alias("audit_linked"))

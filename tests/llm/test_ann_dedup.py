@@ -122,3 +122,18 @@ def test_pairs_across_shards(spark, monkeypatch):
     df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>").repartition(3)
     want, got = brute([(i, 1, v.tolist()) for i, v in enumerate(x)], 0.9), collected(ann_dedup.near_duplicates(df, 0.9))
     assert got == want
+
+
+def test_spaces_that_fail_the_audit_are_compared_exactly(spark, monkeypatch):
+    """An index that loses most lonely pairs, beside a clump and copies that it finds, does not pass."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(120, 16))
+    x = np.concatenate([base, base[:60] + rng.normal(size=(60, 16)) * 0.01, base[:1] + rng.normal(size=(30, 16)) * 0.01, np.repeat(base[-1:], 40, axis=0)])
+    rows = [(i, 1, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    monkeypatch.setattr(ann_dedup, "TRIES", 1)
+    monkeypatch.setattr(ann_dedup, "shards_of", lambda nodes, overlap: nodes.selectExpr(
+        "concat(shard, '\x1e', IF(first BETWEEN 180 AND 209, 'clump', CAST(pmod(node, 8) AS STRING))) AS shard", "node", "copies", "vector"))
+    out = ann_dedup.near_duplicates(df).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == brute(rows)
+    assert out[0].audit_recall == out[0].audit_node_recall == 1 and out[0].audit_linked >= 150
