@@ -7,7 +7,8 @@ takes the tuples (position, common prefix with the one before) in rank order fro
 one first-in-first-out lane for each leading character, and puts each preceding suffix at the end of its
 own lane. Tuples of one lane come in rank order, so the lanes stay sorted and the queue needs no comparison. Beyond
 ``memory`` tuples the lanes' contents go to an unnamed scratch file that the system drops with the task, as
-Spark's own sorters spill; a shard may be far larger than memory.
+Spark's own sorters spill. Only the lanes do: the text, the LMS order, the names and the caller's shard stay in memory, so
+a shard must fit there.
 
 Common prefixes ride along: a suffix induced from the source at rank r shares one character more with its
 neighbour than the least value among the sources since the neighbour's. Only the seam of L- and S-suffixes in a

@@ -8,7 +8,8 @@ that holds their strings:
 1. One scan cuts every document into segments: hash of the anchor, hash of the segment, place.
 2. Equal segments are merged, first in the scanning task, then by shuffle; every later copy repeats in whole. A
    first copy whose anchor also stands in some other segment may repeat in part.
-3. Those segments are cut from the texts and dealt to shards by anchor, sized by total bytes. Each shard is
+3. Those segments are cut from the texts and dealt to shards by anchor, about `SHARD_BYTES` each by total bytes, since a task
+   holds its shard in memory (only the queue's lanes go to disk). Each shard is
    sorted by external induced sorting (`induced`); suffixes with a common prefix of ``length`` bytes are
    equal strings, of which all but the earliest repeat.
 4. The repeating strings of a document are united and their bytes removed.
