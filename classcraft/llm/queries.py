@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classcraft.llm import ann_dedup, bpe, langid, lm_score, mixing, periodic, quality, simhash, suffix_dedup, url_filter, warc
+from classcraft.llm import ann_dedup, bpe, langid, lm_score, mixing, periodic, quality, simhash, suffix_dedup, url_filter, warc, whitening
 from classcraft.llm.common import crc_slice, table
 
 
@@ -75,9 +75,14 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(docs))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), k=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_dedup": op1_ann_dedup, "op2_langid": op2_langid, "op3_lm_score": op3_lm_score, "op4_quality": op4_quality,
     "op5_suffix": op5_suffix, "op6_url_filter": op6_url_filter, "op7_warc": op7_warc, "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash, "op10_bpe": op10_bpe, "op12_periodic": op12_periodic,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {"op7_warc": warc.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
