@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from classcraft.llm import ann_dedup, bpe, langid, lm_score, mixing, periodic, quality, simhash, suffix_dedup, url_filter, warc, whitening
+from classcraft.llm import ann_dedup, bpe, langid, lm_score, mixing, periodic, phrase_index, quality, simhash, suffix_dedup, url_filter, warc, whitening
 from classcraft.llm.common import crc_slice, table
 
 
@@ -70,6 +70,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded)
 
 
+def op11_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted().alias("text"))
     return periodic.digests(periodic.periodic_runs(docs))
@@ -82,7 +86,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_dedup": op1_ann_dedup, "op2_langid": op2_langid, "op3_lm_score": op3_lm_score, "op4_quality": op4_quality,
     "op5_suffix": op5_suffix, "op6_url_filter": op6_url_filter, "op7_warc": op7_warc, "op8_mixing": op8_mixing,
-    "op9_simhash": op9_simhash, "op10_bpe": op10_bpe, "op12_periodic": op12_periodic,
+    "op9_simhash": op9_simhash, "op10_bpe": op10_bpe, "op11_phrase_index": op11_phrase_index, "op12_periodic": op12_periodic,
     "op13_whitening": op13_whitening,
 }
-ORACLES: dict[str, str] = {"op7_warc": warc.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op7_warc": warc.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL, "op11_phrase_index": phrase_index.ORACLE_SQL}
