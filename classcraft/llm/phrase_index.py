@@ -1,7 +1,7 @@
 """Benchmark decontamination with a positional inverted index of the documents, in DataFrame functions only.
 
-``build`` stores the postings of all documents: one row (term, doc, pos) for every word, sorted by term, document and position
-within a segment. A segment is what one task reads, so no posting is shuffled; sorted postings compress to a few
+``build`` stores the postings of all documents: one row (term, doc, pos) for every word. A term's postings lie one behind the
+other in a segment, by document and position (terms are in the order of their hash). A segment is what one task reads, so no posting is shuffled; sorted postings compress to a few
 bytes. A document's header is a row without a term: its number, its id and how many words it has.
 
 ``phrases`` looks for all windows of ``window`` consecutive words of the items (an item with fewer is one window). The words of a
@@ -61,7 +61,9 @@ def build(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> str:
     cells = numbered.select("doc", "doc_id", F.size("w").alias("n"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.col("w"))).alias("p", "term"))
     header = F.col("p") == 0
     rows = cells.select("term", "doc", (F.col("p") - 1).alias("pos"), F.when(header, F.col("doc_id")).alias("doc_id"), F.when(header, F.col("n")).alias("n_words"))
-    (rows.sortWithinPartitions("term", "doc", "pos").write.option("compression", "zstd").option("parquet.writer.version", "v2")
+    # one long to sort by: a radix sort, which keeps the order of documents and positions within a term
+    place = F.when(F.col("term").isNull(), F.lit(-(1 << 63))).otherwise(F.xxhash64("term"))
+    (rows.sortWithinPartitions(place).write.option("compression", "zstd").option("parquet.writer.version", "v2")
      .option("parquet.enable.dictionary#doc", "false").option("parquet.enable.dictionary#pos", "false").parquet(path))
     return path
 
