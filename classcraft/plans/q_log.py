@@ -78,6 +78,17 @@ def s5_two_appends(spark, sf):
     return L.with_outcomes(log, outcomes).select("batch_id", "reference", "actual_label", F.lit(ids).cast("bigint").alias("n_ids"))
 
 
+@register("s5_idempotent_append", SCORED_SQL + (
+    "SELECT batch_id, CAST(record_id AS VARCHAR) AS reference, probability FROM (SELECT '0001' AS batch_id, * FROM out UNION ALL SELECT '0002', * FROM out WHERE training = 'Yes')"))
+def s5_idempotent_append(spark, sf):
+    """A batch that is written again after a retry is there once; another batch stays."""
+    path = scratch(spark, "log")
+    scored = SC.score_frame(records(spark, sf), fitted_scorer(spark, sf))
+    for batch, rows in (("0001", scored), ("0002", scored.where(F.col("training") == "Yes")), ("0001", scored)):
+        L.append_log(L.log_entries(rows, ["score"], ["approved", "rejected"], "v1", "outcome", batch, reference="record_id", created_at="2024-01-01 00:00:00"), path)
+    return L.read_log(spark, path).select("batch_id", "reference", "probability")
+
+
 @register("s6_recent_batches", TWO_BATCHES + "SELECT batch_id, count(*) AS n FROM (SELECT batch_id FROM two ORDER BY created_at DESC LIMIT "
           "(SELECT CAST(count(*) AS BIGINT) FROM out WHERE training = 'Yes')) GROUP BY 1")
 def s6_recent_batches(spark, sf):
@@ -102,6 +113,39 @@ def h1_expand_inputs(spark, sf):
     return L.expanded(_log(spark, sf), ["k"]).select("id", "model_version", "predicted_label", "k")
 
 
+# Inputs as models of different age log them: numbers and texts under one name, objects in objects, a list, broken and absent JSON.
+MIXED_INPUTS = ("CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN concat('{\"k\":\"n', CAST(event_id AS STRING), '\",\"place\":{\"x\":', CAST(user_id AS STRING), '.25,\"on\":true}}') "
+                "WHEN 2 THEN '{\"k\": 1' WHEN 3 THEN concat('{\"place\":{\"x\":', CAST(user_id AS STRING), ',\"city\":{\"name\":\"c', CAST(user_id % 7 AS STRING), '\"}},\"id\":', "
+                "CAST(event_id AS STRING), ',\"list\":[1,', CAST(user_id AS STRING), ']}') ELSE NULL END")
+MIXED_SQL = (f"WITH raw AS (SELECT *, {MIXED_INPUTS} AS raw_inputs FROM events), "
+             "log AS (SELECT event_id AS id, event_type, ts, CASE WHEN json_valid(raw_inputs) THEN raw_inputs END AS inputs FROM raw) ")
+
+
+def mixed_log(spark, sf):
+    events = table(spark, sf, "events")
+    return L.events_as_log(events).drop("inputs").join(events.select(F.col("event_id").alias("id"), F.expr(MIXED_INPUTS).alias("inputs")), "id")
+
+
+@register("h1_discovered_inputs", MIXED_SQL + (
+    "SELECT id, json_extract_string(inputs, '$.k') AS k, CAST(json_extract_string(inputs, '$.place.x') AS DOUBLE) AS x, "
+    "CAST(json_extract_string(inputs, '$.place.on') AS BOOLEAN) AS is_on, json_extract_string(inputs, '$.place.city.name') AS city, "
+    "CAST(json_extract_string(inputs, '$.id') AS BIGINT) AS input_id, json_extract_string(inputs, '$.list') AS list FROM log"))
+def h1_discovered_inputs(spark, sf):
+    """H1: fields and types come from the log itself, nested ones by path, those of mixed kinds as text."""
+    out = L.expanded(mixed_log(spark, sf))
+    return out.select("id", "k", F.col("`place.x`").alias("x"), F.col("`place.on`").alias("is_on"), F.col("`place.city.name`").alias("city"),
+                      F.col("`inputs.id`").alias("input_id"), "list")
+
+
+@register("h3_discovered_rows", MIXED_SQL + (
+    ", outcomes AS (SELECT event_id AS id, CASE WHEN event_type = 'purchase' THEN 'view' ELSE event_type END AS event_type FROM events WHERE event_type IN ('purchase', 'signup')) "
+    "SELECT json_extract_string(inputs, '$.k') AS k, CAST(json_extract_string(inputs, '$.place.x') AS DOUBLE) AS x, o.event_type FROM log JOIN outcomes o USING (id)"))
+def h3_discovered_rows(spark, sf):
+    """H3: confirmed outcomes as training rows whose input columns nobody named."""
+    rows = L.labelled_for_target(mixed_log(spark, sf), _outcomes(spark, sf), None, "event_type")
+    return rows.select("k", F.col("`place.x`").alias("x"), "event_type")
+
+
 @register("h2_record_actual", WITH + "SELECT id, actual_label FROM latest")
 def h2_record_actual(spark, sf):
     return L.latest_outcomes(_outcomes(spark, sf))

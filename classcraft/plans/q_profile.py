@@ -104,6 +104,26 @@ def s1_read_csv(spark: SparkSession, sf: str) -> DataFrame:
     return io.read_table(spark, path, "csv")
 
 
+# Lines of a delimited file: every 40th a cell short, every 40th a cell long, every 40th with words where a number belongs.
+BROKEN = {1: "concat(o_orderkey, ',', o_orderstatus)", 2: "concat(o_orderkey, ',', o_orderstatus, ',', o_custkey, ',extra')",
+          3: "concat(o_orderkey, ',', o_orderstatus, ',about ', o_custkey)"}
+LINE = "CASE o_orderkey % 40 " + " ".join(f"WHEN {k} THEN {v}" for k, v in BROKEN.items()) + " ELSE concat(o_orderkey, ',', o_orderstatus, ',', o_custkey) END"
+
+
+@register("s1_quarantine", "WITH l AS (SELECT *, " + LINE + " AS line, o_orderkey % 40 IN (1, 2, 3) AS bad, count(*) OVER () AS lines, "
+          "count(*) FILTER (o_orderkey % 40 IN (1, 2, 3)) OVER () AS quarantined FROM orders) "
+          "SELECT CASE WHEN NOT bad THEN o_orderkey END AS id, CASE WHEN NOT bad THEN o_orderstatus END AS status, CASE WHEN NOT bad THEN o_custkey END AS customer, "
+          "CASE WHEN bad THEN line END AS line, lines, quarantined FROM l")
+def s1_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Good rows and malformed lines of one scan, and their counts."""
+    path = scratch(spark, "lines")
+    table(spark, sf, "orders").select(F.expr(LINE).alias("line")).write.text(path)
+    good, bad, counts = io.read_checked(spark, path, "id long, status string, customer long", scratch(spark, "checked"), header="false")
+    both = good.select("*", F.lit(None).cast("string").alias("line")).unionByName(
+        bad.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("customer"), "line"))
+    return both.select("*", F.lit(counts["lines"]).cast("long").alias("lines"), F.lit(counts["quarantined"]).cast("long").alias("quarantined"))
+
+
 @register("s2_write_scored_csv", records_cte() + "SELECT record_id, outcome, round(1 / (1 + exp(-(0.06 * (score - 50) + 0.5 * projects - 1.25))), 6) AS probability FROM records")
 def s2_write_scored_csv(spark: SparkSession, sf: str) -> DataFrame:
     """A scored table written as CSV (header) and read back."""

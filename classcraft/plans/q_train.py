@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from classcraft.catalog import records_cte, register
@@ -25,6 +26,7 @@ from classcraft.plans.q_profile import RECORD_COLS_SQL, RECORDS_DUP, records_dup
 from classcraft.plans.q_scoring import FORMULA2_SQL, formula2_scorer
 from classcraft.plans.train import FittedModel, candidate_params, champion_of, dataset_summary, leaderboard, metric_of, permutation_importance
 from classcraft.plans.tree_models import TreeModel, boost_params, fit_joint
+from classcraft.sources.store import ModelStore
 from classcraft.sources.tables import FORMULA_SCORE_SQL, records, table
 
 _FITS: dict[tuple, tuple] = {}
@@ -308,6 +310,20 @@ def s7_save_load(spark, sf):
     return a.join(b, "record_id").select("record_id", "before", "after", (F.col("before") != F.col("after")).alias("changed"))
 
 
+@register("s7_versions", "SELECT * FROM (VALUES (3, 'third', false, true), (2, 'second', true, true), (1, 'first', false, true)) t(place, notes, active, verified)")
+def s7_versions(spark, sf):
+    """Three versions of the model fitted on `records`, newest first; the second is active again, all files are as saved."""
+    model = fitted(spark, sf)[0]
+    store = ModelStore(spark, scratch(spark, "store"), FittedModel.load)
+    for notes in ("first", "second", "third"):
+        store.save(model, notes)
+    store.activate(store.names()[1])
+    verified = [(v, store.load(v).champion == model.champion) for v in store.names()]
+    checked = spark.createDataFrame(verified, "version string, verified boolean")
+    listed = store.versions().join(checked, "version")
+    return listed.select(F.row_number().over(Window.orderBy("version")).alias("place"), "notes", "active", "verified")
+
+
 M17_COLS = ("score", "attendance", "projects", "training", "department")
 _M17_HASH = "left(md5(CAST(record_id AS VARCHAR) || '|{r}|42'), 13)"
 

@@ -1,16 +1,21 @@
 """The prediction log and outcome feedback.
 
-The log is an append-only Parquet table partitioned by ``model_version``
-(partition pruning replaces the reference's index on that column). Inputs
-are stored as a JSON string so a model retrained on other columns needs no
-schema change. Confirmed outcomes go to a second append-only table; the
+The log is a Parquet table partitioned by ``model_version`` and ``batch_id``
+(partition pruning replaces the reference's index on that column). A batch is
+one folder and is written as a whole, so writing it again changes nothing.
+Inputs are stored as a JSON string so a model retrained on other columns needs
+no schema change; their fields and types are found from the log itself. Confirmed outcomes go to a second append-only table; the
 latest write per prediction wins on read (there is no UPDATE on Parquet).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LOG_COLUMNS = ("id", "created_at", "model_version", "target_column", "source", "batch_id",
                "reference", "inputs", "predicted_label", "probability", "probabilities")
@@ -43,13 +48,24 @@ def log_entries(scored: DataFrame, inputs: list[str], labels: list[str], model_v
     )
 
 
+LOG_SCHEMA = ("id long, created_at timestamp, target_column string, source string, reference string, inputs string, predicted_label string, "
+              "probability double, probabilities string, model_version string, batch_id string")
+
+
 def append_log(entries: DataFrame, path: str) -> None:
-    """S5 (sink): append to the log table, one folder per model version."""
-    entries.write.mode("append").partitionBy("model_version").parquet(path)
+    """S5 (sink): each (model version, batch) of ``entries`` becomes one folder, replaced as a whole.
+
+    A batch that a driver writes again after a failure is there once; other batches are not touched. New files are staged and moved in when
+    the job commits, so a failed write leaves the log as it was. Rows without a batch id form a batch of their own on each call.
+    """
+    alone = F.lit(f"single-{uuid.uuid4().hex}")
+    (entries.withColumn("batch_id", F.coalesce("batch_id", alone)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("model_version", "batch_id").parquet(path))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    # the types are fixed: a folder named batch_id=0001 is no number
+    return spark.read.schema(LOG_SCHEMA).parquet(path).select(*LOG_COLUMNS)
 
 
 def events_as_log(events: DataFrame) -> DataFrame:
@@ -103,24 +119,88 @@ def awaiting_outcome(log: DataFrame, outcomes: DataFrame) -> DataFrame:
     return log.join(latest_outcomes(outcomes).select("id"), "id", "left_anti")
 
 
-def expanded(log: DataFrame, fields: list[str]) -> DataFrame:
-    """H1: each known input field as its own column; bad JSON gives NULLs."""
+# Numbers with a fraction are read as doubles, whatever digits they were written with.
+NUMBER = (T.DecimalType, T.DoubleType, T.FloatType)
+
+
+def _object():
+    parsed = F.try_parse_json("inputs")
+    return F.when(F.schema_of_variant(parsed).startswith("OBJECT<"), parsed)
+
+
+def input_schema_of(inputs: DataFrame) -> T.StructType:
+    """The merged schema of the JSON objects in the column ``inputs``, from one aggregate; texts that are no JSON object count as absent."""
+    found = inputs.select(F.schema_of_variant_agg(_object())).first()[0]
+    kind = re.sub(r"\bOBJECT\b(?=<)", "STRUCT", found or "VOID")
+    parsed = T._parse_datatype_string(kind)
+    if isinstance(parsed, T.StructType) and kind.startswith("STRUCT"):
+        return parsed
+    return T.StructType([])
+
+
+def leaves(schema: T.StructType, above: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], str]]:
+    """(path, SQL type) of every field that is no object. A field whose values differ in kind, and a list, are text."""
+    out = []
+    for field in schema.fields:
+        path = (*above, field.name)
+        if isinstance(field.dataType, T.StructType):
+            out += leaves(field.dataType, path)
+        elif isinstance(field.dataType, NUMBER):
+            out.append((path, "double"))
+        elif isinstance(field.dataType, (T.LongType, T.BooleanType)):
+            out.append((path, field.dataType.simpleString()))
+        else:
+            out.append((path, "string"))
+    return out
+
+
+def fields_by_version(log: DataFrame) -> DataFrame:
+    """H1: (model_version, schema) as each version logged its inputs."""
+    return log.groupBy("model_version").agg(F.schema_of_variant_agg(_object()).alias("schema"))
+
+
+def discovered(log: DataFrame) -> DataFrame:
+    """H1: every input field that occurs in the log as a typed column; a field of an object is named with dots.
+
+    Inputs that are no JSON object give nulls. A field named like a column of the log gets the prefix ``inputs.``. A name with both
+    kinds of quotes cannot be addressed in a variant and gives no column.
+    """
+    kept = [c for c in log.columns if c not in ("inputs", "probabilities")]
+    fields = leaves(input_schema_of(log))
+    parsed = log.select(*kept, _object().alias("__inputs"))
+    columns = []
+    for path, kind in fields:
+        name = ".".join(path)
+        if any("'" in step and '"' in step for step in path):
+            continue
+        place = "$" + "".join(f"['{step}']" if "'" not in step else f'["{step}"]' for step in path)
+        columns.append(F.try_variant_get("__inputs", place, kind).alias(name if name not in kept else f"inputs.{name}"))
+    return parsed.select(*kept, *columns)
+
+
+def expanded(log: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """H1: each input field as its own column; bad JSON gives NULLs. Fields that are named are text, else all that
+    occur are found and typed (``discovered``)."""
+    if fields is None:
+        return discovered(log)
     parsed = F.from_json(F.col("inputs"), "map<string,string>")
     return log.select(*[c for c in log.columns if c not in ("inputs", "probabilities")],
                       *[F.element_at(parsed, F.lit(f)).alias(f) for f in fields])
 
 
-def labelled(log: DataFrame, outcomes: DataFrame, fields: list[str]) -> DataFrame:
+def labelled(log: DataFrame, outcomes: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """H3: confirmed outcomes as training rows — inputs plus the actual label,
     kept per target column (``target_column`` names the label column)."""
     joined = expanded(log.join(latest_outcomes(outcomes), "id", "inner"), fields)
-    return joined.select("id", "target_column", *fields, "actual_label")
+    meta = {*LOG_COLUMNS, "actual_label"}
+    names = [c for c in joined.columns if c not in meta] if fields is None else fields
+    return joined.select("id", "target_column", *[F.col(f"`{c}`") for c in names], "actual_label")
 
 
-def labelled_for_target(log: DataFrame, outcomes: DataFrame, fields: list[str], target: str) -> DataFrame:
+def labelled_for_target(log: DataFrame, outcomes: DataFrame, fields: list[str] | None, target: str) -> DataFrame:
     """H3 for one target: inputs plus a column named after the target."""
     lab = labelled(log.where(F.col("target_column") == target), outcomes, fields)
-    return lab.select(*fields, F.col("actual_label").alias(target))
+    return lab.select(*[F.col(f"`{c}`") for c in lab.columns if c not in ("id", "target_column", "actual_label")], F.col("actual_label").alias(target))
 
 
 def summary(log: DataFrame, outcomes: DataFrame, model_version: str | None = None) -> DataFrame:
