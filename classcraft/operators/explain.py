@@ -22,7 +22,7 @@ from classcraft.operators.score import INPUT, Scorer
 CURVE_POINTS = 25
 MAX_LEVERS = 4
 NON_NUMERIC_DISTANCE = 1e9
-CHANGE = "struct<field: int, step: int, from: string, number: double, text: string>"
+CHANGES = "array<struct<field: int, step: int>>"
 
 
 def _typed_lit(value, dtype: str) -> Column:
@@ -108,28 +108,52 @@ def what_if(df: DataFrame, key: str, scorer: Scorer, fields: list[dict], column:
     return scored.select(key, "point", F.col("_v").alias("value"), F.col("_score").alias("probability"))
 
 
-def _numeric_change(i: int, now: Column):
-    return lambda v, step: F.struct(F.lit(i).alias("field"), step.alias("step"), now.cast("string").alias("from"), v.alias("number"),
-                                    v.cast("string").alias("text"))
+def _once(df: DataFrame) -> DataFrame:
+    """``df`` with its columns worked out here: a generator between two projections keeps the optimizer from writing a column's
+    expression into each place that reads it, such as a filter that would work out the whole score again."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
 
 
-def _steps(fields: list[dict], types: dict[str, str]) -> Column:
-    """All changes to try on a record, as an array of (field, step, from, number, text)."""
+def _is_numeric(f: dict) -> bool:
+    return f.get("kind") != "categorical"
+
+
+def _now(f: dict) -> Column:
+    """The value that a numeric field's steps start from."""
+    return F.coalesce(F.col(f"`{f['name']}`").cast("double"), F.lit(float(f.get("min", 0.0))))
+
+
+def _steps(fields: list[dict]) -> Column:
+    """All changes to try on a record, as an array of (field, step): 1 to 24 towards the maximum, or the place of another level."""
     parts = []
     for i, f in enumerate(fields):
+        steps = range(1, CURVE_POINTS) if _is_numeric(f) else range(len(f.get("levels") or []))
+        all_ = F.array(*[F.struct(F.lit(i).alias("field"), F.lit(s).alias("step")) for s in steps]) if steps else F.array().cast(CHANGES)
         x = F.col(f"`{f['name']}`")
-        if f.get("kind") == "categorical":
-            for step, level in enumerate(str(v) for v in (f.get("levels") or [])):
-                change = F.struct(F.lit(i).alias("field"), F.lit(step).alias("step"), x.cast("string").alias("from"),
-                                  F.lit(None).cast("double").alias("number"), F.lit(level).alias("text"))
-                parts.append(F.when(x.isNull() | (x.cast("string") != level), F.array(change)).otherwise(F.array().cast(f"array<{CHANGE}>")))
+        if _is_numeric(f):
+            parts.append(F.when(_now(f) < F.lit(float(f.get("max", 1.0))), all_).otherwise(F.array().cast(CHANGES)))
         else:
+            parts.append(F.filter(all_, _other_level(f, x)))
+    return F.concat(*parts) if parts else F.array().cast(CHANGES)
+
+
+def _other_level(f: dict, x: Column):
+    return lambda c: x.isNull() | (x.cast("string") != _level(f, c["step"]))
+
+
+def _level(f: dict, step: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(str(v)) for v in f.get("levels") or [""]]), step + 1)
+
+
+def _number(fields: list[dict], field: Column, step: Column, now: Column) -> Column:
+    """The value that a step leads to from ``now``; null for a categorical field."""
+    out = F.lit(None).cast("double")
+    for i, f in enumerate(fields):
+        if _is_numeric(f):
             high = F.lit(float(f.get("max", 1.0)))
-            now = F.coalesce(x.cast("double"), F.lit(float(f.get("min", 0.0))))
-            grid = F.slice(_grid(f, start=now), 2, CURVE_POINTS - 1)
-            values = F.transform(grid, lambda v: F.rint(v)) if f.get("integer") else grid
-            parts.append(F.when(now < high, F.transform(values, _numeric_change(i, now))).otherwise(F.array().cast(f"array<{CHANGE}>")))
-    return F.concat(*parts) if parts else F.array().cast(f"array<{CHANGE}>")
+            v = F.when(step == CURVE_POINTS - 1, high).otherwise(now + step.cast("double") * ((high - now) / F.lit(float(CURVE_POINTS - 1))))
+            out = F.when(field == i, F.rint(v) if f.get("integer") else v).otherwise(out)
+    return out
 
 
 def levers(df: DataFrame, key: str, scorer: Scorer, fields: list[dict], max_levers: int = MAX_LEVERS) -> DataFrame:
@@ -139,27 +163,44 @@ def levers(df: DataFrame, key: str, scorer: Scorer, fields: list[dict], max_leve
     the threshold. Ranked by |to − from| (categorical last), keep 4.
     Columns: key, rank, column, from_value, to_value (text), to_number (numeric levers), gain.
 
-    One explode of all changes of a record, one scoring of them, one aggregate by (record, field).
+    One explode of all changes of a record, one scoring of them, one aggregate. A change travels as two integers; what it changes is worked out
+    from them, and a field's text only for the winners. The aggregate holds numbers only, so it is a hash aggregate that
+    leaves one row a numeric field, and one a level that reaches the threshold, before the shuffle.
     """
     types = dict(df.dtypes)
     fields = [f for f in fields if f["name"] in df.columns]
     names = [f["name"] for f in fields]
     t = F.lit(float(scorer.threshold))
+    field, step, now = F.col("_field"), F.col("_step"), F.col("_now")
     low = _scored(scorer, df.select(key, *names)).withColumnRenamed("_score", "_current").where(F.col("_current") < t)
-    tried = low.select(key, "_current", F.explode(_steps(fields, types)).alias("_c"), *[F.col(f"`{n}`") for n in names])
-    swapped = [F.when(F.col("_c.field") == i, F.when(F.col("_c.number").isNotNull(), F.col("_c.number").cast("string")).otherwise(F.col("_c.text"))
-                      if types[n] == "string" else (F.col("_c.number") if f.get("kind") != "categorical" else F.col("_c.text")).cast(types[n]))
-               .otherwise(F.col(f"`{n}`")).alias(n) for i, (n, f) in enumerate(zip(names, fields))]
-    scored = _scored(scorer, tried.select(key, "_current", "_c", *swapped))
+    tried = low.select(key, "_current", F.explode(_steps(fields)).alias("_c"), *[F.col(f"`{n}`") for n in names])
+    start = F.lit(None).cast("double")
+    for i, f in enumerate(fields):
+        if _is_numeric(f):
+            start = F.when(F.col("_c.field") == i, _now(f)).otherwise(start)
+    tried = tried.select(key, "_current", F.col("_c.field").alias("_field"), F.col("_c.step").alias("_step"), start.alias("_now"), *[F.col(f"`{n}`") for n in names])
+    tried = tried.withColumn("_number", _number(fields, field, step, now))
+    swapped = []
+    for i, (n, f) in enumerate(zip(names, fields)):
+        new = F.col("_number") if _is_numeric(f) else _level(f, F.when(field == i, step).otherwise(0))
+        swapped.append(F.when(field == i, new.cast(types[n])).otherwise(F.col(f"`{n}`")).alias(n))
+    scored = _once(_scored(scorer, _once(tried.select(key, "_current", "_field", "_step", "_now", *swapped))))
     # numeric: the first step that reaches the threshold; categorical: the best level, if it does
-    first = F.when(F.col("_c.number").isNotNull(), F.col("_c.step").cast("double")).otherwise(-F.col("_score"))
-    best = (scored.where((F.col("_score") >= t) & (F.col("_score") > F.col("_current"))).groupBy(key, F.col("_c.field").alias("_fi"))
-            .agg(F.min_by(F.struct("_c", "_score", "_current"), F.struct(first.alias("o"), F.col("_c.step").alias("s"))).alias("b")))
-    change = F.col("b._c")
-    distance = F.when(change["number"].isNotNull(), F.abs(change["number"] - change["from"].cast("double"))).otherwise(F.lit(NON_NUMERIC_DISTANCE))
-    w = Window.partitionBy(key).orderBy("_dist", "_fi")
-    ranked = best.select(key, "_fi", F.element_at(F.array(*map(F.lit, names)), F.col("_fi") + 1).alias("column"),
-                         change["from"].alias("from_value"), change["text"].alias("to_value"), change["number"].alias("to_number"),
-                         np_round(F.col("b._score") - F.col("b._current"), 4).alias("gain"), distance.alias("_dist"))
-    return (ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_levers)
-            .select(key, "rank", "column", "from_value", "to_value", "to_number", "gain"))
+    level = F.when(now.isNull(), step).otherwise(-1)
+    reached = (scored.where((F.col("_score") >= t) & (F.col("_score") > F.col("_current"))).groupBy(key, "_field", level.alias("_level"))
+               .agg(F.min_by("_score", "_step").alias("_score"), F.min("_step").alias("_step"), F.max("_current").alias("_current"), F.max("_now").alias("_now")))
+    best = reached.withColumn("_place", F.row_number().over(Window.partitionBy(key, "_field").orderBy(F.desc("_score"), "_step"))).where("_place = 1")
+    number = _number(fields, field, step, now)
+    distance = F.when(now.isNotNull(), F.abs(number - now)).otherwise(F.lit(NON_NUMERIC_DISTANCE))
+    w = Window.partitionBy(key).orderBy("_dist", "_field")
+    ranked = best.withColumn("_dist", distance).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_levers)
+    text, was = number.cast("string"), now.cast("string")
+    for i, f in enumerate(fields):
+        if not _is_numeric(f):
+            text = F.when(field == i, _level(f, F.when(field == i, step).otherwise(0))).otherwise(text)
+            was = F.when(field == i, F.col(f"_was_{i}")).otherwise(was)
+    before = df.select(key, *[F.col(f"`{f['name']}`").cast("string").alias(f"_was_{i}") for i, f in enumerate(fields) if not _is_numeric(f)])
+    if any(not _is_numeric(f) for f in fields):
+        ranked = ranked.join(before, key)
+    return ranked.select(key, "rank", F.element_at(F.array(*map(F.lit, names)), field + 1).alias("column"), was.alias("from_value"), text.alias("to_value"),
+                         number.alias("to_number"), np_round(F.col("_score") - F.col("_current"), 4).alias("gain"))
