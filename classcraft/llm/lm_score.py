@@ -245,7 +245,9 @@ def scored(parts: list[np.ndarray], count, level, total: int, types: int):
     context[starts] = COUNT_OF[level(np.array([BEGIN]), 0)[0]]
     both = np.zeros(len(flat))
     maybe = np.flatnonzero((context > 0) & (smooth[which] > 0))
-    both[maybe] = COUNT_OF[level(pair(before[maybe], flat[maybe]), 2)]
+    # a frequent pair has many levels to probe: once a block is enough
+    pairs, of_pair = np.unique(pair(before[maybe], flat[maybe]), return_inverse=True)
+    both[maybe] = COUNT_OF[level(pairs, 2)][of_pair]
     both = np.minimum(both, context)
     full = np.log10((both + MU * single) / (context + MU))
     known = (exact > 0)[which].astype(np.int64)
