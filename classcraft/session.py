@@ -9,8 +9,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings we want everywhere; never overwrite what the cluster already set.
 _DEFAULTS = {
@@ -24,6 +25,10 @@ _DEFAULTS = {
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "classcraft") -> SparkSession:
     """A local session for tests and the bench (UI off, small shuffles)."""
+    # Python workers import this package wherever the job was started
+    root = str(Path(__file__).resolve().parents[1])
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH")]))
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -68,3 +73,9 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a table between two steps once nothing reads it any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt evenly to as many partitions as shuffles have: a table that many passes read may come from one small file."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, key) if key in rows.columns else rows.repartition(parts)
