@@ -118,3 +118,17 @@ def test_thin_class_target_is_refused(spark, records):
     df = records.withColumn("outcome", F.when(F.col("record_id") == 1, "odd").otherwise(F.col("outcome")))
     with pytest.raises(TrainingError):
         fit(df, TrainConfig(target="outcome", key="record_id"))
+
+
+def test_permutation_importance_keeps_rows_without_or_with_equal_keys(spark):
+    from pyspark.sql import functions as F
+
+    from classcraft.plans.q_train import M17_COLS, formula2_scorer, records
+    from classcraft.plans.train import permutation_importance
+
+    rows = records(spark, "/root/testdata/sf0.001").limit(200)
+    for key in (F.lit(None).cast("long"), F.lit(7).cast("long")):
+        out = permutation_importance(rows.withColumn("record_id", key), "record_id", formula2_scorer(), ["score", "department"], "outcome", repeats=2).collect()
+        got = {r["column"]: r.importance for r in out}
+        assert set(got) == {"score", "department"} and got["score"] > 0.05 and got["department"] == 0
+    assert set(M17_COLS) >= set(got)
