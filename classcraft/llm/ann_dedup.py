@@ -3,20 +3,22 @@
 Vectors are compared within a space: equal non-null label and equal length. Equal vectors of a space are one node with a
 number of copies.
 
-1. Shards: a space larger than `MAX_SHARD` nodes is split by k-means (centroids fit on at most `SAMPLE` nodes of a shard, every
+1. Shards: a space of more than `MAX_SHARD` nodes is split by k-means (centroids fit on at most `SAMPLE` nodes of a shard, every
    node assigned), each node going to its `OVERLAP` nearest clusters; shards still too large are split again. The centroids
    travel through the same shuffle as the nodes, ahead of them, in salted parts, so nothing is broadcast and a hot label spreads.
    What `MAX_DEPTH` splits leave too large (a clump of nearly equal vectors) is compared exactly, block by block.
-2. Graph: in a shard every node's nearest and some spread-out candidates are pruned by the robust rule (a candidate goes if
-   a kept neighbour is `ALPHA` times nearer to it than the node is); back edges are added. The adjacency lists of a node are
-   united over its shards.
-3. Search: every node is a query in its shards, greedily from the shard's medoids with a beam of `BEAM`; then the range is expanded:
-   neighbours of nodes in range are followed until none new is in range. Where a node of the beam or in range is also in other
-   shards, its united list goes on there, so the query goes there too: in written rounds, until no query has a shard left to go to.
-4. Links: in every shard that a query has come to, it is compared with all nodes of the shard, so what has come together is
-   never missed. A link is a cosine in double precision of at least the threshold. A pair may meet in several shards; every one
-   of them knows where the two have been, and the least where they meet counts them. So a shard hands on one count a node and a
-   spanning forest, never pairs. Shards and visitors beyond `MAX_SHARD` are compared block by block.
+2. Graph: in every shard, also where a space is one shard, a node's nearest and some spread-out candidates are pruned by the robust
+   rule (a candidate goes if a kept neighbour is `ALPHA` times nearer to it than the node is); back edges are added. The adjacency
+   lists of a node are united over its shards. The united graph is flat: a node is kept once, by one of its shards, its owner.
+   A neighbour with another owner is a door to that owner, if it is near enough to lead to a link: by the pruning rule a
+   node in range at distance r that is no neighbour is behind a neighbour nearer than r (1 + 1 / sqrt(ALPHA)); `DETOUR` times
+   that is allowed, since nodes that share no shard were not compared and may be joined by a longer way only.
+3. Search: every node is a query in its shards, greedily from the shard's medoids, and from its own place where it has one, with a
+   beam of `BEAM`; then the range is expanded: neighbours of nodes in range are followed until none new is in range. Doors of
+   what it found lead the query into further shards, in written rounds, until no query has a door left that it has not been through.
+4. Links: what the searches find, verified: a link is a cosine in double precision of at least the threshold. As a node has one
+   owner and a query comes there once, no pair counts twice. A link between nodes of one owner counts for both if either finds
+   it. A shard hands on one count a node and a spanning forest, never pairs.
 5. Audit: one node in `AUDIT_STEP`, but about `AUDIT` at least, chosen by hash, is compared with all nodes of its space in exact
    blocks. Recall is the share of their linked nodes that the index links them to (copies do not weigh), and by node the mean of
    that share over the nodes with a link, so that a dense clump does not hide lonely pairs. If either is under `MIN_RECALL` in some
@@ -36,14 +38,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from classcraft.llm.common import written
 from classcraft.llm.components import components
 from classcraft.llm.simhash import forest
 
-MAX_SHARD, TARGET, MAX_CLUSTERS, SAMPLE, MAX_DEPTH = 3000, 1000, 256, 8192, 4
+MAX_SHARD, TARGET, MAX_CLUSTERS, SAMPLE, MAX_DEPTH = 800, 400, 256, 8192, 4
+DETOUR, BLOCK = 2, 3000
 OVERLAP, DEGREE, CANDIDATES, SPREAD, ALPHA = 2, 24, 48, 8, 1.2
 BEAM, MEDOIDS, QUERIES_AT_ONCE = 24, 12, 256
 SALTS = 16
@@ -54,7 +57,8 @@ NODE = "shard string, node long, copies long, vector array<double>"
 # ---------------------------------------------------------------- nodes
 
 def nodes_of(vectors: DataFrame) -> DataFrame:
-    """(vec_id, shard, node, vector) of every row; shard (the space), node and vector are null for rows that link with nothing."""
+    """(vec_id, shard, node, mark, vector) of every row; shard (the space), node, mark (128 bits of hash) and vector are null for rows that
+    link with nothing."""
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     raw = vectors.select("vec_id", "label", v.alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -65,7 +69,8 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     unit = scaled.withColumn("vector", F.transform("v", lambda x: x / norm))
     space = F.when(F.col("ok"), F.concat_ws("\x1f", F.col("label").cast("string"), F.size("vector").cast("string")))
-    return unit.select("vec_id", space.alias("shard"), F.when(F.col("ok"), F.xxhash64("label", "vector")).alias("node"), "vector")
+    return unit.select("vec_id", space.alias("shard"), F.when(F.col("ok"), F.xxhash64("label", "vector")).alias("node"),
+                       F.when(F.col("ok"), F.xxhash64(F.lit(1), "label", "vector")).alias("mark"), "vector")
 
 
 # ---------------------------------------------------------------- 1. shards
@@ -181,12 +186,30 @@ def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
     return [both[s:e] % m for s, e in zip(starts[:-1], starts[1:])]
 
 
-def _adjacency(table: pa.Table) -> pa.Table:
-    x, ids = _matrix(table.column("vector")), table.column("node").to_numpy()
-    order = np.argsort(ids)
-    x, ids = x[order], ids[order]
-    graph = pruned_graph(x)
-    return pa.table({"node": ids, "near": pa.array([ids[g].tolist() for g in graph], pa.list_(pa.int64()))})
+def cover_of(threshold: float) -> float:
+    """The cosine down to which a neighbour may lead to a node in range (see 2. above; 1 - cosine goes with the squared distance)."""
+    return 1 - (DETOUR * (1 + ALPHA ** -0.5)) ** 2 * (1 - threshold)
+
+
+def _lists(rows: np.ndarray, values: np.ndarray, count: int) -> list[np.ndarray]:
+    """The values of each row 0 .. count - 1; rows are sorted."""
+    ends = np.searchsorted(rows, np.arange(count + 1))
+    return [values[s:e] for s, e in zip(ends[:-1], ends[1:])]
+
+
+def _adjacency(cover: float):
+    """A shard's part of its nodes' lists: neighbours with the same owner, and the owners of other near ones."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        x, ids, owner = _matrix(table.column("vector")), table.column("node").to_numpy(), table.column("owner").to_numpy()
+        graph = pruned_graph(x)
+        source, target = np.repeat(np.arange(len(ids)), [len(g) for g in graph]), np.concatenate(graph)
+        same = owner[source] == owner[target]
+        door = ~same & (np.einsum("ij,ij->i", x[source], x[target]) >= cover)
+        inside, doors = _lists(source[same], ids[target[same]], len(ids)), _lists(source[door], owner[target[door]], len(ids))
+        longs = pa.list_(pa.int64())
+        return pa.table({"node": ids, "inside": pa.array(inside, longs), "doors": pa.array([np.unique(d) for d in doors], longs)})
+    return run
 
 
 # ---------------------------------------------------------------- 3. search
@@ -206,17 +229,23 @@ def range_search(x: np.ndarray, starts: np.ndarray, flat: np.ndarray, queries: n
 
     The graph's neighbours of row i are flat[starts[i]:starts[i + 1]].
     """
-    return beam_search(x, x[queries], medoids(x, MEDOIDS), starts, flat, threshold, beam)[:2]
+    return beam_search(x, x[queries], np.full(len(queries), -1), medoids(x, MEDOIDS), starts, flat, threshold, threshold, beam)[:2]
 
 
-def beam_search(x: np.ndarray, at: np.ndarray, entry: np.ndarray, starts: np.ndarray, flat: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, ...]:
-    """(query, row) of the pairs in range of the vectors ``at``, then rows and similarities of their beams (empty places: under -1.5)."""
+def beam_search(x: np.ndarray, at: np.ndarray, place: np.ndarray, entry: np.ndarray, starts: np.ndarray, flat: np.ndarray, threshold: float, cover: float,
+                beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, similarity) of what the vectors ``at`` find down to the similarity ``cover``; the range is expanded down to ``threshold``.
+
+    A search starts from the rows ``entry`` and from its own row ``place``, unless that is -1.
+    """
     q, m = len(at), len(x)
     seen = np.zeros((q, m), bool)
     seen[:, entry] = True
-    ids = np.tile(entry, (q, 1))
-    sims = at @ x[entry].T
-    open_ = np.ones(ids.shape, bool)
+    ids = np.concatenate([np.tile(entry, (q, 1)), np.maximum(place, 0)[:, None]], axis=1)
+    own = (place >= 0) & ~np.isin(place, entry)
+    seen[np.flatnonzero(own), place[own]] = True
+    sims = np.concatenate([at @ x[entry].T, np.where(own, np.einsum("ij,ij->i", at, x[np.maximum(place, 0)]), -2.0)[:, None]], axis=1)
+    open_ = sims > -1.5
 
     def neighbours(rows, nodes):
         """(row, neighbour) not seen before by the row; marks them seen."""
@@ -230,14 +259,13 @@ def beam_search(x: np.ndarray, at: np.ndarray, entry: np.ndarray, starts: np.nda
         seen[row, node] = True
         return row, node
 
-    found_q, found_n = [], []
+    found = []
 
     def keep(row, node, sim):
-        hit = sim >= threshold
-        found_q.append(row[hit])
-        found_n.append(node[hit])
+        hit = sim >= cover
+        found.append((row[hit], node[hit], sim[hit]))
 
-    keep(np.repeat(np.arange(q), len(entry)), np.tile(entry, q), sims.ravel())
+    keep(np.repeat(np.arange(q), ids.shape[1]), ids.ravel(), sims.ravel())
     while True:
         best = np.where(open_, sims, -3).argmax(axis=1)
         active = np.flatnonzero(open_[np.arange(q), best])
@@ -260,20 +288,15 @@ def beam_search(x: np.ndarray, at: np.ndarray, entry: np.ndarray, starts: np.nda
         if ids.shape[1] > beam:
             top = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
             ids, sims, open_ = (np.take_along_axis(a, top, axis=1) for a in (ids, sims, open_))
-    edge = (np.concatenate(found_q), np.concatenate(found_n))
+    edge = tuple(np.concatenate(part) for part in zip(*found))
+    edge = tuple(part[edge[2] >= threshold] for part in edge[:2])
     while len(edge[0]):  # expand the range
         row, node = neighbours(*edge)
         sim = np.einsum("ij,ij->i", at[row], x[node]) if len(row) else np.empty(0)
         keep(row, node, sim)
         hit = sim >= threshold
         edge = row[hit], node[hit]
-    return np.concatenate(found_q), np.concatenate(found_n), ids, sims
-
-
-def _table_of(lists: list[list[int]]) -> np.ndarray:
-    """One row a list, filled up with its first entry."""
-    width = max(map(len, lists))
-    return np.array([row + row[:1] * (width - len(row)) for row in lists], np.int64)
+    return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def _parts(table: pa.Table) -> tuple[pa.Table, pa.Table]:
@@ -283,8 +306,8 @@ def _parts(table: pa.Table) -> tuple[pa.Table, pa.Table]:
 
 
 def _groups(members: DataFrame, queries: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` over the queries and the nodes of every shard (``code``), dealt to blocks of about MAX_SHARD of either."""
-    ceil = lambda c: F.ceil(F.col(c) / F.lit(MAX_SHARD)).cast("long")
+    """``run`` over the queries and the nodes of every shard (``code``), dealt to blocks of about BLOCK of either."""
+    ceil = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("long")
     sizes = members.groupBy("code").agg(F.count(F.lit(1)).alias("m")).join(queries.groupBy("code").agg(F.count(F.lit(1)).alias("q")), "code").select(
         "code", ceil("m").alias("blocks"), ceil("q").alias("lots"))
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
@@ -293,87 +316,13 @@ def _groups(members: DataFrame, queries: DataFrame, run, schema: str) -> DataFra
     return mine.unionByName(theirs, allowMissingColumns=True).drop("blocks", "lots").groupBy("code", "block", "lot").applyInArrow(run, schema)
 
 
-LEADS = "node long, cut float, leads array<struct<shard: bigint, sim: float>>"
-
-
-def _search(threshold: float, beam: int):
-    """For every query of a group: the least similarity of its beam, and the other shards of what it found, each with the best similarity."""
-    def run(table: pa.Table) -> pa.Table:
-        queries, nodes = _parts(table)
-        if not len(queries) or not len(nodes):  # a block that got no hash
-            return pa.table({"node": pa.array([], pa.int64()), "cut": pa.array([], pa.float32()), "leads": pa.array([], LEAD_LIST)})
-        here, ids, x = table.column("code")[0].as_py(), nodes.column("node").to_numpy(), _matrix(nodes.column("vector"))
-        homes = _table_of(nodes.column("homes").to_pylist())
-        near = [row or [] for row in nodes.column("near").to_pylist()]
-        flat = np.array([n for row in near for n in row], np.int64)
-        source = np.repeat(np.arange(len(ids)), [len(row) for row in near])
-        at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
-        inside = ids[at] == flat  # the others are followed in their own shards, where the query goes next
-        flat, source = at[inside], source[inside]
-        starts = np.searchsorted(source, np.arange(len(ids) + 1))
-        entry, own, y = medoids(x, MEDOIDS), queries.column("node").to_numpy(), _matrix(queries.column("vector"))
-        cuts, leads = [], []
-        for s in range(0, len(own), QUERIES_AT_ONCE):
-            q, n, beams, sims = beam_search(x, y[s:s + QUERIES_AT_ONCE], entry, starts, flat, threshold, beam)
-            me = own[s:s + QUERIES_AT_ONCE]
-            used = (sims > -1.5) & (ids[beams] != me[:, None])
-            cuts.append(np.where(used.sum(axis=1) >= beam - 1, np.where(used, sims, 2).min(axis=1), -2))
-            r, c = np.nonzero(used)
-            row, node = np.concatenate([r, q]), np.concatenate([beams[r, c], n])
-            sim = np.concatenate([sims[r, c], np.einsum("ij,ij->i", y[s + q], x[n])])
-            row, sim, to = np.repeat(row, homes.shape[1]), np.repeat(sim, homes.shape[1]), homes[node].ravel()
-            other = to != here
-            row, sim, to = row[other], sim[other], to[other]
-            order = np.lexsort((-sim, to, row))
-            row, sim, to = row[order], sim[order], to[order]
-            first = np.ones(len(row), bool)
-            first[1:] = (row[1:] != row[:-1]) | (to[1:] != to[:-1])
-            row, sim, to = row[first], sim[first], to[first]
-            ends = np.searchsorted(row, np.arange(len(me) + 1))
-            leads += [[{"shard": a, "sim": b} for a, b in zip(to[i:j].tolist(), sim[i:j].tolist())] for i, j in zip(ends[:-1], ends[1:])]
-        return pa.table({"node": own, "cut": pa.array(np.concatenate(cuts).astype(np.float32)), "leads": pa.array(leads, LEAD_LIST)})
-    return run
-
-
-LEAD_LIST = pa.list_(pa.struct([("shard", pa.int64()), ("sim", pa.float32())]))
-
-
-def visits_of(members: DataFrame, threshold: float, beam: int) -> DataFrame:
-    """(node, visits): the shards that the search over the united graph comes to from every node of ``members`` (code, node, vector, homes).
-
-    A round follows the lists of what was found so far into shards that the query has not been in: those of nodes in range, and those of
-    nodes at least as near as the whole beam it has in some shard.
-    """
-    sizes = members.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / F.lit(MAX_SHARD)).cast("long").alias("blocks"))
-    dealt = members.join(sizes, "code").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    graph = dealt.select("code", "block", "node", "vector").groupBy("code", "block").applyInArrow(_adjacency, "node long, near array<long>")
-    united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    placed = written(members.select("code", "node", "vector", "homes").join(united, "node"), "ann-graph")
-    vectors = members.select("node", "vector", "homes").dropDuplicates(["node"])
-    state = vectors.select("node", F.lit(-2.0).cast("float").alias("cut"), F.col("homes").alias("visits"), F.col("homes").alias("to"),
-                           F.array().cast("array<struct<shard: bigint, sim: float>>").alias("leads"))
-    queries = members.select("code", "node", "vector")
-    while True:
-        found = _groups(placed, queries, _search(threshold, beam), LEADS).groupBy("node").agg(
-            F.max("cut").alias("new_cut"), F.flatten(F.collect_list("leads")).alias("new"))
-        state = state.drop("to").join(found, "node", "left").withColumn("cut", F.greatest("cut", "new_cut")).withColumn(
-            "leads", F.concat("leads", F.coalesce("new", F.array().cast("array<struct<shard: bigint, sim: float>>"))))
-        on = lambda x: (x["sim"] >= F.least(F.col("cut"), F.lit(threshold))) & ~F.array_contains("visits", x["shard"])
-        state = state.withColumn("leads", F.filter("leads", on)).withColumn("to", F.array_distinct(F.transform("leads", lambda x: x["shard"])))
-        state = written(state.select("node", "cut", F.concat("visits", "to").alias("visits"), "to", "leads"), "ann-search")
-        ahead = state.where(F.size("to") > 0)
-        if ahead.isEmpty():
-            return state.select("node", "visits")
-        queries = ahead.select("node", F.explode("to").alias("code")).join(vectors.select("node", "vector"), "node")
-
-
 # ---------------------------------------------------------------- 4. links
 
-EDGES = "node long, links long, partners long, a long, b long"
+FOUND = "node long, links long, partners long, doors array<long>, a long, b long"
 
 
 def _pairs(queries: np.ndarray, x: np.ndarray, y: np.ndarray, ids: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, node) rows of all pairs in range but of a node with itself, some queries at a time."""
+    """(query, node) rows of all pairs in range but of a node with itself, some queries at a time: every node is compared."""
     for s in range(0, len(queries), QUERIES_AT_ONCE):
         q, n = np.nonzero((y[s:s + QUERIES_AT_ONCE] @ x.T >= threshold - 1e-9) & (queries[s:s + QUERIES_AT_ONCE, None] != ids))
         q += s
@@ -383,54 +332,91 @@ def _pairs(queries: np.ndarray, x: np.ndarray, y: np.ndarray, ids: np.ndarray, t
             yield a[exact], b[exact]
 
 
-def _least_met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row the least of the shards ``a`` that is among ``b``."""
-    least = np.full(len(a), np.iinfo(np.int64).max)
-    for c in range(a.shape[1]):
-        least = np.where((b == a[:, c, None]).any(axis=1), np.minimum(least, a[:, c]), least)
-    return least
+def _at(sorted_ids: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The place of each id, or -1."""
+    at = np.minimum(np.searchsorted(sorted_ids, ids), len(sorted_ids) - 1)
+    return np.where(sorted_ids[at] == ids, at, -1)
 
 
-def _compare(threshold: float):
-    """One count a node and star edges of the links between the queries and the nodes of a group that are counted in its shard."""
+def _search(threshold: float, beam: int):
+    """FOUND rows of a group: links and doors of its queries, by search, or by exact comparison where the shard is too large for a graph."""
+    cover = cover_of(threshold)
+
     def run(table: pa.Table) -> pa.Table:
         queries, nodes = _parts(table)
-        none = lambda n: pa.array([None] * n, pa.int64())
+        none, longs = (lambda n: pa.array([None] * n, pa.int64())), pa.list_(pa.int64())
         if not len(queries) or not len(nodes):  # a block that got no hash
-            return pa.table({c: none(0) for c in ("node", "links", "partners", "a", "b")})
-        here = table.column("code")[0].as_py()
-        (qi, qc, qh, qv), (ni, nc, nh, nv) = (
-            (t.column("node").to_numpy(), t.column("copies").to_numpy(), _table_of(t.column("homes").to_pylist()), _table_of(t.column("visits").to_pylist()))
-            for t in (queries, nodes))
-        visitor = ~(qh == here).any(axis=1)  # the others are nodes of the shard: their pairs come from either side
-        qlinks, qpartners, nlinks, npartners = (np.zeros(n, np.int64) for n in (len(qi), len(qi), len(ni), len(ni)))
-        x = y = np.empty(0, np.int64)
-        for q, n in _pairs(qi, _matrix(nodes.column("vector")), _matrix(queries.column("vector")), ni, threshold):
-            mine = np.minimum(_least_met(qv[q], nh[n]), _least_met(nv[n], qh[q])) == here
-            q, n = q[mine], n[mine]
-            np.add.at(qlinks, q, nc[n])
-            np.add.at(qpartners, q, 1)
-            x, y = forest(np.concatenate([x, qi[q]]), np.concatenate([y, ni[n]])) if len(q) else (x, y)
-            q, n = q[visitor[q]], n[visitor[q]]
-            np.add.at(nlinks, n, qc[q])
-            np.add.at(npartners, n, 1)
-        ids, links, partners = np.concatenate([qi, ni]), np.concatenate([qlinks, nlinks]), np.concatenate([qpartners, npartners])
-        has = np.flatnonzero(partners)
+            return pa.table({c: pa.array([], longs) if c == "doors" else none(0) for c in ("node", "links", "partners", "doors", "a", "b")})
+        own, ids, copies = queries.column("node").to_numpy(), nodes.column("node").to_numpy(), nodes.column("copies").to_numpy()
+        y, x, place = _matrix(queries.column("vector")), _matrix(nodes.column("vector")), _at(ids, own)
+        doors = [row or [] for row in nodes.column("doors").to_pylist()]
+        ways, leads = np.array([len(d) > 0 for d in doors]), [set(doors[p]) if p >= 0 else set() for p in place.tolist()]
+        links, partners, a, b = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def count(q, n):
+            nonlocal a, b
+            np.add.at(links, q, copies[n])
+            np.add.at(partners, q, 1)
+            if len(q):
+                a, b = forest(np.concatenate([a, own[q]]), np.concatenate([b, ids[n]]))
+
+        def follow(q, n):
+            through = ways[n]
+            for row, node in zip(q[through].tolist(), n[through].tolist()):
+                leads[row].update(doors[node])
+
+        if nodes.column("exact")[0].as_py():
+            for q, n in _pairs(own, x, y, ids, threshold):
+                follow(q, n)
+                count(q, n)
+        else:
+            near = [row or [] for row in nodes.column("inside").to_pylist()]
+            flat, source = _at(ids, np.array([n for row in near for n in row], np.int64)), np.repeat(np.arange(len(ids)), [len(row) for row in near])
+            starts, entry, pairs = np.searchsorted(source, np.arange(len(ids) + 1)), medoids(x, MEDOIDS), []
+            for s in range(0, len(own), QUERIES_AT_ONCE):
+                q, n, sim = beam_search(x, y[s:s + QUERIES_AT_ONCE], place[s:s + QUERIES_AT_ONCE], entry, starts, flat, threshold, cover, beam)
+                q, other = q + s, own[q + s] != ids[n]
+                follow(q[other], n[other])
+                link = other & (sim >= threshold)
+                pairs.append(q[link] * len(ids) + n[link])
+            pairs = np.concatenate(pairs)
+            q, n = pairs // len(ids), pairs % len(ids)
+            back = _at(own, ids)[n]  # the link seen from its other end, if that is a query here too
+            both = (place[q] >= 0) & (back >= 0)
+            pairs = np.unique(np.concatenate([pairs, back[both] * len(ids) + place[q[both]]]))
+            count(pairs // len(ids), pairs % len(ids))
+        has = np.array([i for i in range(len(own)) if partners[i] or leads[i]], np.int64)
         return pa.concat_tables([
-            pa.table({"node": pa.array(ids[has]), "links": pa.array(links[has]), "partners": pa.array(partners[has]), "a": none(len(has)), "b": none(len(has))}),
-            pa.table({"node": none(len(x)), "links": none(len(x)), "partners": none(len(x)), "a": pa.array(x), "b": pa.array(y)})])
+            pa.table({"node": pa.array(own[has]), "links": pa.array(links[has]), "partners": pa.array(partners[has]),
+                      "doors": pa.array([sorted(leads[i]) for i in has.tolist()], longs), "a": none(len(has)), "b": none(len(has))}),
+            pa.table({"node": none(len(a)), "links": none(len(a)), "partners": none(len(a)), "doors": pa.array([None] * len(a), longs),
+                      "a": pa.array(a), "b": pa.array(b)})])
     return run
 
 
 def _links(rows: DataFrame, threshold: float, beam: int) -> DataFrame:
-    """EDGES rows of all links the index finds."""
+    """FOUND rows of all links the index finds in ``rows`` (shard, node, copies, vector, whole); shards with ``whole`` get no graph."""
     rows = rows.withColumn("code", F.xxhash64("shard"))
-    homes = rows.groupBy("node").agg(F.sort_array(F.collect_set("code")).alias("homes"))  # at most OVERLAP ** depth
-    members = written(rows.join(homes, "node").select("code", "node", "copies", "vector", "homes", F.col("shard").contains("\x1e").alias("split")), "ann-members")
-    visits = visits_of(members.where("split"), threshold, beam)  # where a space is one shard, there is nowhere to go
-    full = members.drop("split").join(visits, "node", "left").withColumn("visits", F.coalesce("visits", "homes"))
-    queries = full.dropDuplicates(["node"]).withColumn("code", F.explode("visits"))
-    return _groups(full, queries, _compare(threshold), EDGES)
+    sizes = rows.groupBy("code").agg((F.bool_or("whole") | (F.count(F.lit(1)) > MAX_SHARD)).alias("exact"))
+    rows = rows.select("code", "node", "copies", "vector").join(sizes, "code")
+    owners = rows.groupBy("node").agg(F.min(F.struct(~F.col("exact"), F.col("code"))).getField("code").alias("owner"))
+    members = written(rows.join(owners, "node"), "ann-members")
+    graph = members.where("NOT exact").select("code", "node", "vector", "owner").groupBy("code").applyInArrow(
+        _adjacency(cover_of(threshold)), "node long, inside array<long>, doors array<long>")
+    united = graph.groupBy("node").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("inside", "doors")])
+    placed = written(members.where("code = owner").select("code", "node", "copies", "vector", "exact").join(united, "node", "left"), "ann-graph")
+    # what shares a shard that is compared exactly is compared wherever it is owned
+    beside = members.where("exact AND code <> owner").select("code", F.col("owner").alias("other")).distinct()
+    homes = members.select("node", "code")
+    visited = written(homes.unionByName(members.select("node", "code").join(beside, "code").select("node", F.col("other").alias("code"))).distinct(), "ann-visits")
+    ahead, found = visited, None
+    while not ahead.isEmpty():
+        queries = ahead.join(placed.select("node", "vector"), "node")
+        got = written(_groups(placed, queries, _search(threshold, beam), FOUND), "ann-links")
+        found = got if found is None else found.unionByName(got)
+        ahead = written(got.where(F.size("doors") > 0).select("node", F.explode("doors").alias("code")).distinct().join(visited, ["node", "code"], "left_anti"), "ann-visits")
+        visited = visited.unionByName(ahead)
+    return found if found is not None else rows.sparkSession.createDataFrame([], FOUND)
 
 
 # ---------------------------------------------------------------- 5. audit
@@ -470,14 +456,19 @@ def audited(truth: DataFrame, counts: DataFrame) -> tuple[float, float, int, Dat
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audit_recall, audit_node_recall, audit_linked) of every row of (vec_id, embedding, label)."""
     rows = written(nodes_of(vectors), "ann-rows")
-    nodes = written(rows.where("node IS NOT NULL").groupBy("shard", "node").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first"), F.first("vector").alias("vector")), "ann-nodes")
+    nodes = rows.where("node IS NOT NULL").groupBy("shard", F.col("node").alias("hash"), "mark").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first"), F.first("vector").alias("vector"))
+    rank = F.row_number().over(Window.partitionBy("hash").orderBy("mark", "shard"))  # over 1 where different vectors share 64 bits
+    nodes = written(nodes.withColumn("rank", rank).withColumn("node", F.when(F.col("rank") == 1, F.col("hash")).otherwise(F.xxhash64("mark", "hash", "rank"))).drop("rank"),
+                    "ann-nodes")
     truth = truth_of(nodes, threshold)
     overlap, beam, exact = OVERLAP, BEAM, None
     for attempt in range(TRIES + 1):
-        shards = shards_of(nodes, overlap) if exact is None else shards_of(nodes.join(exact, "shard", "left_anti"), overlap).unionByName(
-            nodes.join(exact, "shard", "left_semi").select("shard", "node", "copies", "vector"))  # one shard a space: exact blocks
-        edges = written(_links(shards, threshold, beam), "ann-links")
+        plain = nodes if exact is None else nodes.join(exact, "shard", "left_anti")
+        shards = shards_of(plain, overlap).withColumn("whole", F.lit(False))
+        if exact is not None:  # one shard a space, compared exactly
+            shards = shards.unionByName(nodes.join(exact, "shard", "left_semi").select("shard", "node", "copies", "vector", F.lit(True).alias("whole")))
+        edges = _links(shards, threshold, beam)
         counts = edges.where("node IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"), F.sum("partners").alias("partners"))
         recall, node_recall, linked, short = audited(truth, counts)
         if exact is not None or short.isEmpty():
@@ -489,11 +480,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     if linked < ENOUGH:
         warnings.warn(f"the recall audit saw {linked} nodes with a link, too few to tell the recall", stacklevel=2)
     roots = components(edges.where("a IS NOT NULL").select("a", "b"))
-    placed = nodes.select("node", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = nodes.select("node", "shard", "hash", "mark", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     facts = (placed.join(names, "root").join(counts, "node", "left")
-             .select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    out = rows.select("vec_id", "node").join(facts, "node", "left")
+             .select("shard", F.col("hash").alias("node"), "mark", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    out = rows.select("vec_id", "shard", "node", "mark").join(facts, ["shard", "node", "mark"], "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
                       F.col("vec_id").eqNullSafe(component).alias("kept"), F.lit(float(recall)).alias("audit_recall"),

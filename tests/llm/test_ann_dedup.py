@@ -37,9 +37,9 @@ def collected(df):
     return {r.vec_id: (r.n_links, r.component_id) for r in df.collect()}
 
 
-@pytest.mark.parametrize("shard,depth", [(3000, 4), (40, 4), (40, 0)])
-def test_whole_table_with_planted_groups(spark, monkeypatch, shard, depth):
-    for name, value in (("MAX_SHARD", shard), ("MAX_DEPTH", depth)):
+@pytest.mark.parametrize("shard,depth,block", [(3000, 4, 3000), (40, 4, 3000), (40, 0, 3000), (40, 0, 40)])
+def test_whole_table_with_planted_groups(spark, monkeypatch, shard, depth, block):
+    for name, value in (("MAX_SHARD", shard), ("MAX_DEPTH", depth), ("BLOCK", block)):
         monkeypatch.setattr(ann_dedup, name, value)
     rows = [(r.vec_id, r.label, list(r.embedding)) for r in table(spark, SF, "embeddings").collect()]
     rng = np.random.default_rng(4)
