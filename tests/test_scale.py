@@ -44,3 +44,19 @@ def test_fit_reads_scores_without_the_models_that_made_them(spark, monkeypatch):
     T.fit(rows, T.TrainConfig("y", "id", folds=2, candidates=("logistic_regression",), params={"logistic_regression": {"max_iter": 5}}))
     assert seen and all("InMemoryTableScan" not in plan and "FileScan parquet" in plan for plan in seen)
     assert len(paths) == 2 and not any(Path(p.removeprefix("file:")).exists() for p in paths)
+
+
+def test_boosting_walks_each_tree_once_and_keeps_the_margins(spark, monkeypatch):
+    rows, x, y, w, *_ = made(spark, n=200)
+    walked, count = [], B._histograms
+    monkeypatch.setattr(B, "_histograms", lambda state, *args: walked.extend(len(g.recent) for g in state) or count(state, *args))
+    p = B.BoostParams(rounds=13, max_depth=2, max_bins=16, early_stopping=False)
+    model = B.boost(rows, 4, 2, p, 2)[-1]
+    assert walked and not any(walked)
+    # margins went through two rewrites' worth of rounds: the last round's leaves must be those of the whole sum
+    raw = B.Boosted(model.base, model.rounds[:-1], [], 2).raw(x)
+    tree, prob = model.rounds[-1][0], B.probabilities(raw)[:, 0]
+    node, g, h = tree.walk(x), w * (prob - y), w * prob * (1 - prob)
+    for leaf in np.unique(node):
+        at = node == leaf
+        assert abs(tree.value[leaf] + p.learning_rate * g[at].sum() / h[at].sum()) < 1e-9
