@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from classcraft.catalog import register
@@ -12,6 +13,7 @@ from classcraft.operators.clean import auto_rules, fit_cleaning
 from classcraft.plans.q_metrics import CURVE_SQL, LABELS, LI, lineitem_probs, scored
 from classcraft.operators.schema import input_schema
 from classcraft.plans.q_profile import record_plan
+from classcraft.session import dealt
 from classcraft.sources.tables import FORMULA_SCORE_SQL, records, table
 
 # Fixed second formula for the explanation queries: adds a categorical term so
@@ -107,10 +109,15 @@ CATEGORICAL = ["department", "training"]
 
 def record_fields(spark, sf) -> list[dict]:
     """Input-schema fields (P16) of `records`, as explanation inputs."""
-    df, p, rows, numeric, categorical = record_plan(spark, sf)
-    state = fit_cleaning(df, auto_rules(rows, numeric, categorical))
+    kept = dealt(records(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)  # many passes read it
+    try:
+        df, p, rows, numeric, categorical = record_plan(spark, sf, kept)
+        state = fit_cleaning(df, auto_rules(rows, numeric, categorical))
+        found = input_schema(df, numeric, categorical, state.kept).collect()
+    finally:
+        kept.unpersist()
     out = []
-    for r in input_schema(df, numeric, categorical, state.kept).collect():
+    for r in found:
         d = r.asDict()
         if d["kind"] == "categorical":
             d["default"] = d["default_level"]

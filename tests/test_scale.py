@@ -60,3 +60,40 @@ def test_boosting_walks_each_tree_once_and_keeps_the_margins(spark, monkeypatch)
     for leaf in np.unique(node):
         at = node == leaf
         assert abs(tree.value[leaf] + p.learning_rate * g[at].sum() / h[at].sum()) < 1e-9
+
+
+FIELDS = [{"name": "a", "kind": "numeric", "min": 0.0, "max": 6.0, "default": 1.0, "integer": False},
+          {"name": "n", "kind": "numeric", "min": 0.0, "max": 5.0, "default": 1.0, "integer": True}]
+
+
+def test_steps_that_round_to_one_number_are_tried_once(spark):
+    rows = spark.createDataFrame([(1, 0.5, 0), (2, 0.5, 3), (3, 1.0, None), (4, 6.0, 5)], "k int, a double, n int")
+    tried = rows.select("k", F.explode(A._steps(FIELDS)).alias("c")).where("c.field = 1").join(rows, "k")
+    numbers = tried.select("k", A._number(FIELDS, F.lit(1), F.col("c.step"), A._now(FIELDS[1])).alias("v")).groupBy("k").agg(
+        F.count("v").alias("n"), F.countDistinct("v").alias("d")).collect()
+    assert {r.k: (r.n, r.d) for r in numbers} == {1: (6, 6), 2: (3, 3), 3: (6, 6)}
+
+
+def test_levers_with_whole_numbers_and_scores_that_do_not_sum_to_one(spark):
+    rows = spark.createDataFrame([(1, 0.5, 0), (2, 0.5, 3), (3, 1.0, 1), (4, 6.0, 5)], "k int, a double, n int")
+    got = {(r.k, r.column): (r.to_number, r.gain) for r in A.levers(rows, "k", slope_scorer(), FIELDS).collect()}
+    p = lambda a, n: 1 / (1 + np.exp(-(a + n - 4)))
+    want = {}
+    for k, a, n in ((1, 0.5, 0), (2, 0.5, 3), (3, 1.0, 1)):
+        for name, now, high in (("a", a, 6.0), ("n", n, 5.0)):
+            for s in range(1, 25):
+                v = high if s == 24 else now + s * ((high - now) / 24)
+                v = float(np.rint(v)) if name == "n" else v
+                q = p(v, n) if name == "a" else p(a, v)
+                if q >= 0.5:
+                    want[(k, name)] = (v, round(q - p(a, n), 4))
+                    break
+    assert got.keys() == want.keys()
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_one_partition_of_records_is_dealt_before_changes_are_tried(spark):
+    rows = spark.range(3_000).coalesce(1).select(F.col("id").cast("int").alias("k"), F.lit(0.5).alias("a"), (F.col("id") % 4).cast("int").alias("n"))
+    for out in (A.levers(rows, "k", slope_scorer(), FIELDS), A.attribute(rows.unionAll(rows).unionAll(rows).unionAll(rows).unionAll(rows).coalesce(1),
+                                                                       "k", slope_scorer(), FIELDS)):
+        assert "RoundRobinPartitioning" in out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
