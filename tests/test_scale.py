@@ -97,3 +97,15 @@ def test_one_partition_of_records_is_dealt_before_changes_are_tried(spark):
     for out in (A.levers(rows, "k", slope_scorer(), FIELDS), A.attribute(rows.unionAll(rows).unionAll(rows).unionAll(rows).unionAll(rows).coalesce(1),
                                                                        "k", slope_scorer(), FIELDS)):
         assert "RoundRobinPartitioning" in out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_importance_partitions_follow_the_buckets(spark, monkeypatch):
+    monkeypatch.setattr(T, "SHUFFLE_ROWS", 10)
+    rows = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("int").alias("n"),
+                                   F.when(F.col("id") % 7 > 2, "yes").otherwise("no").alias("y"))
+    out = T.permutation_importance(rows, "k", slope_scorer(), ["a", "n"], "y", repeats=2)
+    assert {r.column for r in out.collect()} == {"a", "n"}
+    measured, plans = T.M.binary_report_by, []
+    monkeypatch.setattr(T.M, "binary_report_by", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or measured(df, *a))
+    T.permutation_importance(rows, "k", slope_scorer(), ["a", "n"], "y", repeats=2)
+    assert any("RepartitionByExpression [__b" in p and ", 20" in p for p in plans)
