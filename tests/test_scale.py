@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 import numpy as np
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from classcraft import session
 from classcraft.operators import boosting as B
 from classcraft.operators import explain as A
+from classcraft.operators import extra_trees as X
 from classcraft.operators.score import Scorer
 from classcraft.plans import train as T
-from tests.test_trees import made
+from classcraft.plans.tree_models import ForestScore, TreeModel, _tree_dict
+from tests.test_trees import brute_forest, cuts_of, filled, made
 
 
 def slope_scorer(threshold=0.5):
@@ -62,6 +65,45 @@ def test_boosting_walks_each_tree_once_and_keeps_the_margins(spark, monkeypatch)
         assert abs(tree.value[leaf] + p.learning_rate * g[at].sum() / h[at].sum()) < 1e-9
 
 
+def test_forest_of_few_rows_takes_no_pass_a_level(spark, monkeypatch):
+    passes, count = [], X._counted
+    monkeypatch.setattr(X, "_counted", lambda *args: passes.append(args[-1]) or count(*args))
+    rows, x, y, w, _ = filled(spark, n=250, seed=6)
+    p = X.ForestParams(trees=6, max_depth=7)
+    want = [brute_forest(x, y, w, 2, p, t) for t in range(6)]
+    assert [cuts_of(t) for t in X.grow_forest(rows, 4, 2, p)[0].trees] == want and not passes
+    # tasks that may hold 60 rows of four features: nodes are counted in passes only as long as they have more than 30
+    monkeypatch.setattr(X, "HELD", 4 * 60)
+    monkeypatch.setattr(X, "MOVED", 4 * 400)
+    rounds, subtrees = [], X._grow_subtrees
+    monkeypatch.setattr(X, "_grow_subtrees", lambda state, forest, nodes, unit, *args: rounds.append((forest.n[nodes], unit)) or subtrees(state, forest, nodes, unit, *args))
+    assert [cuts_of(t) for t in X.grow_forest(rows, 4, 2, p)[0].trees] == want
+    assert passes and max(passes) <= 6 * 250 // 30
+    assert len(rounds) > 1 and all(np.bincount(unit, n).max() <= 60 and n.sum() <= 460 for n, unit in rounds)
+
+
+def test_missing_values_hide_no_feature_however_rows_are_dealt(spark, monkeypatch):
+    rows, *_ = made(spark, n=240, seed=9)
+    p = X.ForestParams(trees=4, max_depth=6, max_features=2)
+    whole = X.grow_forest(rows, 4, 2, p, folds=3)
+    monkeypatch.setattr(X, "HELD", 4 * 24)
+    parted = X.grow_forest(rows.repartition(9), 4, 2, p, folds=3)
+    for a, b in zip(whole, parted):
+        assert [cuts_of(t) for t in a.trees] == [cuts_of(t) for t in b.trees]
+    assert any(f == 2 for t in whole[3].trees for f, _ in cuts_of(t).values())
+
+
+def test_forest_is_packed_and_older_ones_are_read(spark):
+    rows, x, *_ = filled(spark, n=200, seed=7)
+    model = X.grow_forest(rows, 4, 2, X.ForestParams(trees=3, max_depth=5))[0]
+    stage = TreeModel.of(model, "v", "p")
+    listed = json.dumps({"kind": "forest", "classes": 2, "trees": [{k: np.array(v).tolist() for k, v in _tree_dict(t).items()} for t in model.trees],
+                         "shares": [s.tolist() for s in model.shares]})
+    for again in (stage.fitted(), TreeModel(trees=listed).fitted()):
+        assert [cuts_of(t) for t in again.trees] == [cuts_of(t) for t in model.trees] and [t.depth() for t in again.trees] == [t.depth() for t in model.trees]
+        assert (ForestScore(again)(x) == ForestScore(model)(x)).all()
+
+
 FIELDS = [{"name": "a", "kind": "numeric", "min": 0.0, "max": 6.0, "default": 1.0, "integer": False},
           {"name": "n", "kind": "numeric", "min": 0.0, "max": 5.0, "default": 1.0, "integer": True}]
 
