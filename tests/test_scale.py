@@ -13,6 +13,7 @@ from classcraft.operators import boosting as B
 from classcraft.operators import explain as A
 from classcraft.operators import extra_trees as X
 from classcraft.operators.score import Scorer
+from classcraft.plans import q_train as Q
 from classcraft.plans import train as T
 from classcraft.plans.tree_models import ForestScore, TreeModel, _tree_dict
 from tests.test_trees import brute_forest, cuts_of, filled, made
@@ -82,6 +83,14 @@ def test_forest_of_few_rows_takes_no_pass_a_level(spark, monkeypatch):
     assert len(rounds) > 1 and all(np.bincount(unit, n).max() <= 60 and n.sum() <= 460 for n, unit in rounds)
 
 
+def test_forest_query_grows_all_trees_at_any_size(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(Q, "fit_joint", lambda name, rows, features, classes, params, *args: asked.append(params) or [])
+    for n in (10, T.FEWER_TREES_FROM + 1):
+        Q.grown_folds(spark, "extra_trees", 1, spark.range(n), 1, 2)
+    assert asked[0] == asked[1] == T.DEFAULTS["extra_trees"]
+
+
 def test_missing_values_hide_no_feature_however_rows_are_dealt(spark, monkeypatch):
     rows, *_ = made(spark, n=240, seed=9)
     p = X.ForestParams(trees=4, max_depth=6, max_features=2)
