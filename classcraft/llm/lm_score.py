@@ -5,7 +5,8 @@ shards by hash range. A shard adds its blocks and writes the exact word counts a
 gram of count c enters the filter once for each level 1 .. 1 + floor(log c / log `BASE`), so a gram's level is found by
 probing level after level until one misses, and a level stands for the middle of its range of counts. A
 filter never forgets a gram; it takes an unseen one for seen with a chance of about 2^-`HASHES` a probe, and pairs
-are probed only if both words have a level.
+are probed only if both words have a level. Levels up to a count that a gram is known to have (a word's exact count, a pair's
+count in the block's own training texts) are in the filter and are not probed.
 
 Score: sum over tokens of log10 P(w | v), with Dirichlet smoothing
 P(w | v) = (c(v w) + MU P(w)) / (c(v) + MU) and P(w) = (c(w) + 1) / (N + V + 1), all counts from the filter.
@@ -41,7 +42,7 @@ from classcraft.llm.common import written
 SHARD_TEXT = 16 << 20
 MIN_SHARDS = 12
 TASK_TOKENS = 1 << 20           # training tokens a task holds before it sends their sums
-BLOCK_TOKENS = 1 << 17          # tokens scored at once
+BLOCK_TOKENS = 1 << 18          # tokens scored at once
 MAX_BROADCAST = 256 << 20
 BASE = math.sqrt(2.0)
 HASHES = 7
@@ -124,9 +125,9 @@ def _count_table() -> np.ndarray:
 COUNT_OF = _count_table()
 
 
-def _probes(grams: np.ndarray, order: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+def _probes(grams: np.ndarray, order: int, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
-        h = _mixed(grams + np.uint64(order) * _A + np.uint64(level) * _C)
+        h = _mixed(grams + np.uint64(order) * _A + np.asarray(level, np.uint64) * _C)
     return h, _mixed(h ^ _B) | np.uint64(1)
 
 
@@ -155,23 +156,23 @@ class Filter:
         self.sizes = lengths.astype(np.uint64) * np.uint64(8)
         self.starts = (np.cumsum(lengths) - lengths).astype(np.uint64)
 
-    def levels(self, grams: np.ndarray, order: int) -> np.ndarray:
-        out = np.zeros(len(grams), np.int64)
+    def levels(self, grams: np.ndarray, order: int, least: np.ndarray | None = None) -> np.ndarray:
+        """Levels of grams; ``least`` are counts that they are known to have at least: as the filter forgets nothing, the levels
+        up to those counts are in it and need no probe."""
+        out = np.zeros(len(grams), np.int64) if least is None else np.where(least > 0, level_of(least), 0)
         shard = shard_of(grams, self.shards)
         alive = np.flatnonzero(self.sizes[shard] > 0)
-        level = 1
         while len(alive):
             size, start = self.sizes[shard[alive]], self.starts[shard[alive]]
-            h, step = _probes(grams[alive], order, level)
+            h, step = _probes(grams[alive], order, out[alive] + 1)
             there = np.arange(len(alive))
             for i in range(HASHES):
                 with np.errstate(over="ignore"):
                     bit = (h[there] + np.uint64(i) * step[there]) % size[there]
-                hit = self.bits[start[there] + (bit >> np.uint64(3))] >> (bit & np.uint64(7)).astype(np.uint8) & 1
+                hit = self.bits[(start[there] + (bit >> np.uint64(3))).view(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
                 there = there[hit == 1]
             alive = alive[there]
-            out[alive] = level
-            level += 1
+            out[alive] += 1
         return out
 
 
@@ -228,30 +229,32 @@ def count_grams(training: DataFrame, shards: int) -> DataFrame:
 
 # ---------------------------------------------------------------- scoring
 
-def scored(parts: list[np.ndarray], count, level, total: int, types: int):
+def scored(parts: list[np.ndarray], learned: np.ndarray, count, level, total: int, types: int):
     """(n_tokens, n_known, base score, score) of each document.
 
-    ``count`` gives the exact counts of word hashes, ``level`` the filter levels of grams of an order.
+    ``learned``: the documents that the counts are from, ``count`` gives the exact counts of word hashes, ``level`` the filter levels of
+    grams of an order that have at least the given counts.
     """
     flat, before, starts = joined(parts)
     words, which = np.unique(flat, return_inverse=True)
     exact = count(words)
-    smooth = COUNT_OF[level(words, 1)]
+    smooth = COUNT_OF[level(words, 1, exact)]
     space = total + types + 1
     base = np.log10((exact + 1) / space)[which]
     single = ((smooth + 1) / space)[which]
     context = np.empty(len(flat))
     context[1:] = smooth[which[:-1]]
-    context[starts] = COUNT_OF[level(np.array([BEGIN]), 0)[0]]
+    context[starts] = COUNT_OF[level(np.array([BEGIN]), 0, np.array([learned.sum()]))[0]]
     both = np.zeros(len(flat))
     maybe = np.flatnonzero((context > 0) & (smooth[which] > 0))
     # a frequent pair has many levels to probe: once a block is enough
     pairs, of_pair = np.unique(pair(before[maybe], flat[maybe]), return_inverse=True)
-    both[maybe] = COUNT_OF[level(pairs, 2)][of_pair]
+    sizes = np.diff(np.append(starts, len(flat)))
+    least = np.bincount(of_pair[np.repeat(learned, sizes)[maybe]], minlength=len(pairs))
+    both[maybe] = COUNT_OF[level(pairs, 2, least)][of_pair]
     both = np.minimum(both, context)
     full = np.log10((both + MU * single) / (context + MU))
     known = (exact > 0)[which].astype(np.int64)
-    sizes = np.diff(np.append(starts, len(flat)))
     return sizes, np.add.reduceat(known, starts), np.add.reduceat(base, starts), np.add.reduceat(full, starts)
 
 
@@ -300,7 +303,7 @@ def _whole_model(model: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray,
     return words, counts if counts.max(initial=0) >> 32 else counts.astype(np.uint32), bits, sizes[:, 1].copy()
 
 
-def _score_by_broadcast(docs: DataFrame, model: DataFrame, shards: int, total: int, types: int) -> DataFrame:
+def _score_by_broadcast(docs: DataFrame, held_out: Column, model: DataFrame, shards: int, total: int, types: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_whole_model(model, shards))
     block_tokens = BLOCK_TOKENS
 
@@ -309,11 +312,12 @@ def _score_by_broadcast(docs: DataFrame, model: DataFrame, shards: int, total: i
         bloom = Filter(bits, lengths)
         for batch in batches:
             for first, held in _blocks(batch, block_tokens):
-                found = scored(held, lambda w: lookup(words, counts, w), bloom.levels, total, types)
+                learned = batch.column(2).slice(first, len(held)).to_numpy(zero_copy_only=False)
+                found = scored(held, learned, lambda w: lookup(words, counts, w), bloom.levels, total, types)
                 yield _batch(batch.column(0).slice(first, len(held)), found)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {RESULT}")
+    return docs.select("doc_id", "text", F.coalesce(~held_out, F.lit(False))).mapInArrow(run, f"doc_id {kind}, {RESULT}")
 
 
 def _score_by_shards(docs: DataFrame, model: DataFrame, shards: int, total: int, types: int) -> DataFrame:
@@ -356,8 +360,9 @@ def _score_by_shards(docs: DataFrame, model: DataFrame, shards: int, total: int,
         found_counts, found_levels = [], []
         for order, grams in zip(asked.column("order").to_pylist(), asked.column("grams")):
             grams = np.frombuffer(grams.as_buffer(), np.uint64)
-            found_counts.append(lookup(words, counts, grams).astype(np.int64).tobytes() if order == 1 else b"")
-            found_levels.append(bloom.levels(grams, order).astype(np.int16).tobytes())
+            exact = lookup(words, counts, grams) if order == 1 else None
+            found_counts.append(exact.astype(np.int64).tobytes() if order == 1 else b"")
+            found_levels.append(bloom.levels(grams, order, exact).astype(np.int16).tobytes())
         return pa.table({"block": asked.column("block"), "order": asked.column("order"), "grams": asked.column("grams"),
                          "counts": pa.array(found_counts, pa.binary()), "levels": pa.array(found_levels, pa.binary())})
 
@@ -372,7 +377,7 @@ def _score_by_shards(docs: DataFrame, model: DataFrame, shards: int, total: int,
             counts = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("counts")] or [np.empty(0, np.int64)])
             sort = np.argsort(grams)
             known[order] = grams[sort], levels[sort], counts[sort] if order == 1 else None
-        found = scored(parts, lambda w: lookup(known[1][0], known[1][2], w), lambda g, order: lookup(*known[order][:2], g), total, types)
+        found = scored(parts, np.zeros(len(parts), bool), lambda w: lookup(known[1][0], known[1][2], w), lambda g, order, _: lookup(*known[order][:2], g), total, types)
         ids = block.column("ids").combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         return pa.Table.from_batches([_batch(ids.flatten(), found)])
@@ -391,5 +396,8 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     model = count_grams(docs.where(~held_out), shards)
     total, types, bytes_ = model.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0)),
                                      F.coalesce(F.sum(F.octet_length("segment") + 2 * F.octet_length("words")), F.lit(0))).first()
-    way = _score_by_broadcast if bytes_ <= MAX_BROADCAST else _score_by_shards
-    return way(docs, model, shards, total, types).withColumn("train_tokens", F.lit(total).cast("long"))
+    if bytes_ <= MAX_BROADCAST:
+        out = _score_by_broadcast(docs, held_out, model, shards, total, types)
+    else:
+        out = _score_by_shards(docs, model, shards, total, types)
+    return out.withColumn("train_tokens", F.lit(total).cast("long"))

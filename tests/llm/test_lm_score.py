@@ -80,6 +80,33 @@ def test_filter_forgets_nothing_and_errs_rarely():
     assert (bloom.levels(other, 1) > 0).mean() < 0.02
 
 
+def test_levels_of_known_counts_are_not_probed(monkeypatch):
+    rng = np.random.default_rng(3)
+    grams = np.unique(rng.integers(0, 1 << 63, 5_000, dtype=np.uint64))
+    counts = rng.geometric(0.02, len(grams))
+    segment = lm_score.build_segment({1: (grams[:0], counts[:0]), 2: (grams, counts)})
+    bloom = lm_score.Filter(segment, np.array([len(segment)]))
+    other = rng.integers(0, 1 << 63, 1_000, dtype=np.uint64)
+    probed, probes = [], lm_score._probes
+    monkeypatch.setattr(lm_score, "_probes", lambda g, *args: probed.append(len(g)) or probes(g, *args))
+    whole = bloom.levels(np.append(grams, other), 2)
+    before, probed[:] = sum(probed), []
+    assert (bloom.levels(np.append(grams, other), 2, np.append(counts - counts // 8, 0 * other.astype(np.int64))) == whole).all()
+    assert sum(probed) < before / 4
+
+
+def test_scores_do_not_depend_on_which_texts_are_known_to_be_learned(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [lm_score.tokens(" ".join(f"w{i}" for i in rng.zipf(1.5, 40) % 50)) for _ in range(30)]
+    flat, before, starts = lm_score.joined(texts)
+    sums = {o: lm_score.summed(g) for o, g in ((0, np.full(len(starts), lm_score.BEGIN, np.uint64)), (1, flat), (2, lm_score.pair(before, flat)))}
+    segment = lm_score.build_segment(sums)
+    bloom = lm_score.Filter(segment, np.array([len(segment)]))
+    given = (lambda w: lm_score.lookup(*sums[1], w), bloom.levels, len(flat), len(sums[1][0]))
+    found = [lm_score.scored(texts, np.arange(30) % k == 0, *given) for k in (1, 3, 31)]
+    assert all((a == b).all() for other in found[1:] for a, b in zip(found[0], other))
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "A b a"), (3, "A b a"), (None, "a b"), (4, "z " * 100_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as score", "2 as shard")
