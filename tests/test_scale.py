@@ -91,6 +91,22 @@ def test_forest_query_grows_all_trees_at_any_size(spark, monkeypatch):
     assert asked[0] == asked[1] == T.DEFAULTS["extra_trees"]
 
 
+def test_held_out_rows_are_scored_once_for_the_curve(spark, monkeypatch):
+    rows, x, y, *_ = made(spark, n=200)
+    rows, curves, whole = rows.withColumn("record_id", F.col("r")), [], Q.M.score_curve
+    monkeypatch.setattr(Q.M, "score_curve", lambda df, *by: curves.append(df._jdf.queryExecution().optimizedPlan().toString()) or whole(df, *by))
+    monkeypatch.setattr(Q, "candidate_params", lambda *a: (T.DEFAULTS["hist_gradient_boosting"] | {"max_iter": 4}, []))
+    found = Q.grown_folds(spark, "hist_gradient_boosting", 3, rows, 4, 2).collect()
+    assert len(curves) == 1 and "Eval" not in curves[0] and [r.held_out for r in found] == [0, 1, 2, None]
+    models = B.boost(rows, 4, 2, B.BoostParams(rounds=4, early_stopping=False), 3)
+    for r, m in zip(found[:3], models):
+        own = np.arange(200) % 3 == r.held_out
+        p = m.probabilities(x[own])[:, 1]
+        gap = p[y[own] == 1][:, None] - p[y[own] == 0][None, :]
+        assert abs(r.roc_auc - ((gap > 0) + (gap == 0) / 2).mean()) < 1e-9
+    assert found[3].roc_auc is None
+
+
 def test_missing_values_hide_no_feature_however_rows_are_dealt(spark, monkeypatch):
     rows, *_ = made(spark, n=240, seed=9)
     p = X.ForestParams(trees=4, max_depth=6, max_features=2)

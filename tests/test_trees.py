@@ -178,6 +178,39 @@ def test_one_scan_a_level(spark, monkeypatch):
     assert len(passes) == 2 * 3
 
 
+@pytest.mark.parametrize("classes, more", [(2, dict(early_stopping=True, validation=0.25, patience=3)), (3, dict(early_stopping=False, max_leaf_nodes=5)),
+                                           (2, dict(subsample=0.7, max_leaf_nodes=None, min_samples_leaf=1, l2=1.0, early_stopping=False)),
+                                           (3, dict(early_stopping=True, patience=2, second_order=False))])
+def test_models_grown_in_tasks_equal_those_grown_in_passes(spark, monkeypatch, classes, more):
+    rows, x, *_ = made(spark, n=400, features=6, classes=classes, seed=11)
+    rows = rows.withColumn("w", F.when(F.col("r") % 17 == 0, 0.0).otherwise(F.col("w")))
+    p = B.BoostParams(rounds=9, **{"max_depth": 4, "max_bins": 20, "learning_rate": 0.3, "min_samples_leaf": 5, **more})
+    passes = B.boost(rows, 6, classes, p, folds=2)
+    monkeypatch.setattr(B, "_pass", None)
+    tasks = B.boosted(rows, 6, classes, p, folds=2)
+    for a, b in zip(passes, tasks, strict=True):
+        assert [[splits_of(t) for t in ts] for ts in a.rounds] == [[splits_of(t) for t in ts] for ts in b.rounds]
+        assert a.base == b.base and np.allclose(a.losses, b.losses, atol=1e-12) and np.allclose(a.raw(x), b.raw(x), atol=1e-9)
+    monkeypatch.setattr(B, "HELD", 400 * 6 - 1)
+    with pytest.raises(TypeError):          # more rows than a task may hold: passes
+        B.boosted(rows, 6, classes, p, folds=2)
+
+
+def test_joint_cells_add_up_by_feature():
+    rng = np.random.default_rng(0)
+    layout = B.Layout([np.arange(k) + 0.5 for k in (1, 30, 0, 2, 300, 1)])
+    bins = np.stack([rng.integers(0, len(e) + 2, 500) for e in layout.edges], axis=1).astype(np.uint16)
+    held = B._Held(bins, np.zeros(500), np.ones(500), np.zeros(500), 480, layout)
+    assert len(held.bundles) < 6
+    slot, g = rng.integers(-1, 3, 480), rng.normal(size=480)
+    got = held.histograms([g, g * g, np.ones(480)], slot, 3)
+    for s in range(3):
+        for f in range(6):
+            own = slot == s
+            span = got[s, :, layout.offsets[f]:layout.offsets[f + 1]]
+            assert np.allclose(span[0], np.bincount(bins[:480, f][own], g[own], span.shape[1])) and span[3].sum() == own.sum()
+
+
 def test_bins(spark):
     rows = spark.createDataFrame([([float(i % 7), float(i), float("nan")],) for i in range(5000)], "x array<double>")
     few, many, none = B.bin_edges(rows, 3, 50)
